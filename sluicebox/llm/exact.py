@@ -100,8 +100,10 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_
     Of equal texts the largest id stays (nulls count as smallest). Of rows that repeat an id and
     its text, one is kept. An empty table gives an empty result; other columns are not read.
     """
-    ids = identities(docs, text, id_column, block)
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    scratch = Scratch(docs.sparkSession, "exact")
+    ids = identities(docs, text, id_column, block, scratch)
+    # written first, so that the join below has two plain exchanges and Spark may split a large group
+    groups = scratch.keep(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "groups")
     out = ids.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     return out.select(
         "doc_id", "keep_id", "group_size",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import exact, html, jaccard, packing, quality, secrets
 
-_MODULES = (exact,)
+_MODULES = (exact, html, jaccard, packing, quality, secrets)
 
 
 def queries() -> dict:
