@@ -90,13 +90,11 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def cut(length: int, capacity: int, largest: int) -> list[tuple[int, int]]:
-    """(start, length): full windows first, then the remainder in near-equal parts of at most
-    ``largest``, which is what lets differencing even windows out."""
-    full = length // capacity
-    rest = length - full * capacity
-    parts = -(-rest // largest)
-    edges = [full * capacity + rest * i // parts for i in range(parts + 1)] if parts else []
-    return [(i * capacity, capacity) for i in range(full)] + [(a, b - a) for a, b in zip(edges, edges[1:])]
+    """(start, length): full windows first, then the remainder in parts of ``largest`` and one
+    shorter, which is what lets differencing even windows out."""
+    full = length // capacity * capacity
+    edges = [*range(0, full, capacity), *range(full, length, largest), length]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def _packer(vocabulary: str, capacity: int, batch_size: int, largest: int, end: int):
