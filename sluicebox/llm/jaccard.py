@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected
+from .pairs import PRODUCT, filter_of, in_filter, multiply, settle, split
 from .scratch import Scratch
 from .words import batch_words, lowered, mix, shingles
 
@@ -40,7 +40,6 @@ OFTEN, FREQUENT = 24, 1_000_000
 #: Share of the hash range over which columns are counted: what prefixes draw on.
 _RANGE = int(0.24 * 2**64)
 _CHUNK = 1000
-_FILTER_BITS = 26
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
@@ -66,14 +65,6 @@ def prefix_length(n: int) -> int:
     return n - (8 * n + 9) // 10 + 1
 
 
-def _split(keys: np.ndarray, blocks: int) -> Iterator[tuple[int, slice]]:
-    """Slices of a sorted array by block; blocks are equal parts of the hash range."""
-    edges = np.searchsorted(keys, (np.arange(1, blocks) * (2.0**64 / blocks)).astype(np.uint64))
-    edges = np.concatenate([[0], edges, [len(keys)]])
-    for block in np.flatnonzero(np.diff(edges)):
-        yield int(block), slice(int(edges[block]), int(edges[block + 1]))
-
-
 def _count_columns(width: int, blocks: int):
     """Rows of documents (block null) and of counted columns (block set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -84,7 +75,7 @@ def _count_columns(width: int, blocks: int):
             low = [s[: np.searchsorted(s, np.uint64(_RANGE))] for s in sets]
             keys, counts = np.unique(np.concatenate(low) if low else np.empty(0, np.uint64), return_counts=True)
             # blocks of the counted range only
-            for block, at in _split(keys * np.uint64(4), blocks):
+            for block, at in split(keys * np.uint64(4), blocks):
                 out.append((None, None, None, block, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes() if counts[at].max() > 1 else b""))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -147,7 +138,7 @@ def _postings(width: int, blocks: int, frequent: np.ndarray):
                     edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
                     cuts = [(int(block[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 else:
-                    cuts = _split(keys, blocks)
+                    cuts = split(keys, blocks)
                 out += [(b, keys[at].tobytes(), nodes[at].tobytes(), sizes[at].tobytes()) for b, at in cuts]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -155,78 +146,17 @@ def _postings(width: int, blocks: int, frequent: np.ndarray):
     return run
 
 
-_PRODUCT = "kind int, a long, b long, size_a long, size_b long, overlap long"
-
-
-def _multiply(longest: int):
-    """One block of the product. kind 0: a pair of nodes with its overlap here; kind 1: an entry
-    (a: column, b: node) of a column too long to multiply out."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(block["keys"]), np.uint64)
-        nodes = np.frombuffer(b"".join(block["nodes"]), np.int64)
-        sizes = np.frombuffer(b"".join(block["sizes"]), np.uint32).astype(np.int64)
-        order = np.lexsort((nodes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
-        keys, nodes, sizes = keys[first], nodes[first], sizes[first]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        length = np.diff(np.concatenate([start, [len(keys)]]))
-        hot = bool(block["block"].iloc[0] < 0)
-        out = []
-        long = np.repeat(length > (0 if hot else longest), length)
-        if long.any():
-            out.append(pd.DataFrame({"kind": 1, "a": keys[long].view(np.int64), "b": nodes[long], "size_a": sizes[long], "size_b": 0, "overlap": 0}))
-        left, right = [], []
-        for n in range(2, longest + 1) if not hot else ():
-            rows = start[length == n]
-            if len(rows):
-                i, j = np.triu_indices(n, 1)
-                left.append((rows[:, None] + i).ravel())
-                right.append((rows[:, None] + j).ravel())
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            near = 10 * np.minimum(sizes[i], sizes[j]) >= 8 * np.maximum(sizes[i], sizes[j])
-            i, j = i[near], j[near]
-            if len(i):
-                order = np.lexsort((nodes[j], nodes[i]))
-                i, j = i[order], j[order]
-                edge = np.flatnonzero(np.concatenate([[True], (nodes[i][1:] != nodes[i][:-1]) | (nodes[j][1:] != nodes[j][:-1])]))
-                times = np.diff(np.concatenate([edge, [len(i)]]))
-                i, j = i[edge], j[edge]
-                out.append(pd.DataFrame({"kind": 0, "a": nodes[i], "b": nodes[j], "size_a": sizes[i], "size_b": sizes[j], "overlap": times}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in _PRODUCT.split(", ")})
-
-    return run
-
-
 #: Whether the overlap of two prefixes allows a Jaccard index of 0.8.
 _ENOUGH = "{} >= ((size_a + size_b) * 4 + 8) div 9 - (greatest(size_a, size_b) * 8 + 9) div 10 + 1"
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (2**26 bits, 8 MB), built by Spark."""
-    mask = (1 << _FILTER_BITS) - 1
-    spots = nodes.select(F.explode(F.array(F.col("node").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(mask)))).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def _in_filter(bits: np.ndarray, node: int) -> bool:
-    x = node & ((1 << 64) - 1)
-    mask = (1 << _FILTER_BITS) - 1
-    return all(int(bits[s >> 6]) >> (s & 63) & 1 for s in (x & mask, (x >> 32) & mask))
-
-
 def _whole_sets(width: int, bits):
     schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
 
     def run(batches):
         own = bits.value
         for _, sets in _sets(batches, width):
-            found = {node: s for node, s in ((node_of(s), s) for s in sets if len(s)) if _in_filter(own, node)}
+            found = {node: s for node, s in ((node_of(s), s) for s in sets if len(s)) if in_filter(own, node)}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], schema=schema)
 
@@ -250,7 +180,7 @@ def _verify(source: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, n
     """Of the pairs (a, b), those whose whole sets are similar."""
     spark = source.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_of(ends))
+    bits = spark.sparkContext.broadcast(filter_of(ends))
     sets = source.mapInArrow(_whole_sets(width, bits), "node long, s binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
     sets = scratch.keep(sets, f"{name}_sets")
     out = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -281,45 +211,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     scratch.drop("counted")
 
     postings = source.select("doc_id", "text").mapInArrow(_postings(width, blocks, frequent), "block int, keys binary, nodes binary, sizes binary")
-    product = scratch.keep(postings.groupBy("block").applyInPandas(_multiply(longest), _PRODUCT), "product")
-
-    entries = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("size_a").alias("size")).distinct()
-    lengths = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("centre")).where("n > 1")
-    entries = scratch.keep(entries.join(lengths.select("key", "centre"), "key"), "entries")
-    in_long = entries.groupBy("node").agg(F.count("*").alias("in_long"))
-
-    pairs = product.where("kind = 0").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    pairs = pairs.join(in_long.select(F.col("node").alias("a"), F.col("in_long").alias("long_a")), "a", "left").join(in_long.select(F.col("node").alias("b"), F.col("in_long").alias("long_b")), "b", "left")
-    # overlaps within long columns are not counted yet: at most so many
-    pairs = scratch.keep(pairs.where(_ENOUGH.format("overlap + least(coalesce(long_a, 0), coalesce(long_b, 0))")).select("a", "b"), "pairs")
-
-    # first, one pair for each node: with its smallest partner, and with the node that most of its long columns name
-    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    named = entries.where("centre.node <> node and 10 * centre.size >= 8 * size").groupBy("node", F.col("centre.node").alias("centre")).agg(F.count("*").alias("n"))
-    named = named.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-    first = scratch.keep(some.unionByName(named.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct(), "first")
-    links = _verify(source, first, width, scratch, "links1")
-    roots = scratch.keep(connected(links, scratch, "roots1"), "roots_first")
-
-    # then every pair that is still between components
-    def of(column: str, name: str):
-        return roots.select(F.col("node").alias(column), F.col("root").alias(name))
-
-    open_pairs = pairs.join(of("a", "root_a"), "a", "left").join(of("b", "root_b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    owned = entries.join(of("node", "root"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    shares = owned.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    split = scratch.keep(owned.join(main.select("key", "main"), "key"), "split")
-    minor = split.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    other = split.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), (F.col("root") == F.col("main")).alias("major"))
-    crossing = minor.join(other, "key").where("root_a <> root_b and (major or a < b) and 10 * least(size_a, size_b) >= 8 * greatest(size_a, size_b)")
-    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")).where(_ENOUGH.format("overlap")).select("a", "b")
-    second = scratch.keep(open_pairs.unionByName(crossing).distinct().join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        links = links.unionByName(_verify(source, second, width, scratch, "links2"))
-        roots = scratch.keep(connected(links, scratch, "roots2"), "roots_last")
-
-    whole = documents.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    product = scratch.keep(postings.groupBy("block").applyInPandas(multiply(longest), PRODUCT), "product")
+
+    roots = settle(product, _ENOUGH, lambda pairs, name: _verify(source, pairs, width, scratch, name), scratch)
+    whole = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 

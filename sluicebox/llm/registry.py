@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact, html, jaccard, packing, quality, secrets
+from . import contamination, exact, html, jaccard, lines, packing, quality, secrets
 
-_MODULES = (exact, html, jaccard, packing, quality, secrets)
+_MODULES = (contamination, exact, html, jaccard, lines, packing, quality, secrets)
 
 
 def queries() -> dict:
