@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contamination, exact, html, jaccard, lines, packing, quality, secrets, suffixes
+from . import contamination, exact, html, jaccard, lines, maxent, packing, quality, secrets, suffixes
 
-_MODULES = (contamination, exact, html, jaccard, lines, packing, quality, secrets, suffixes)
+_MODULES = (contamination, exact, html, jaccard, lines, maxent, packing, quality, secrets, suffixes)
 
 
 def queries() -> dict:
