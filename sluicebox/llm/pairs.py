@@ -71,20 +71,36 @@ def multiply(longest: int):
     return run
 
 
-def filter_of(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (2**26 bits, 8 MB), built by Spark."""
-    mask = (1 << FILTER_BITS) - 1
-    spots = nodes.select(F.explode(F.array(F.col("node").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(mask)))).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+def filter_of(nodes: DataFrame, bits: int = FILTER_BITS, column: str = "node") -> np.ndarray:
+    """A Bloom filter of fixed size (2**bits bits) of a column of mixed 64-bit numbers.
+
+    Spark builds it in pieces of 4 KB, one per row that comes to the driver.
+    """
+    mask = (1 << bits) - 1
+    spots = nodes.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(mask)))).alias("spot"))
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << 15, bool)
+        own[rows["spot"].to_numpy(np.int64) & 0x7FFF] = True
+        return pd.DataFrame({"at": rows["spot"].iloc[:1].to_numpy(np.int64) >> 15, "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in spots.distinct().groupBy(F.shiftright("spot", 15)).applyInPandas(piece, "at long, bits binary").collect():
+        out[row.at << 12 : row.at + 1 << 12] = np.frombuffer(row.bits, np.uint8)
     return out.view(np.uint64)
 
 
+def maybe_in(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which numbers may be in a filter; those that are not surely are not."""
+    mask = np.uint64(len(bits) * 64 - 1)
+    ok = np.ones(len(spots), bool)
+    for x in (spots & mask, (spots >> np.uint64(32)) & mask):
+        ok &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
 def in_filter(bits: np.ndarray, node: int) -> bool:
-    x = node & ((1 << 64) - 1)
-    mask = (1 << FILTER_BITS) - 1
-    return all(int(bits[s >> 6]) >> (s & 63) & 1 for s in (x & mask, (x >> 32) & mask))
+    return bool(maybe_in(bits, np.array([node], np.int64).view(np.uint64))[0])
 
 
 def settle(product: DataFrame, enough: str, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch) -> DataFrame:

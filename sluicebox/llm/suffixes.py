@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import split
+from .pairs import filter_of, maybe_in, split
 from .scratch import Scratch
 from .words import fingerprints, mix, powers, prefix_sums
 
@@ -36,7 +36,8 @@ _REACH = WIDTH - LEAD
 #: Strings are told apart by how far before the anchor they start: four ranges of starts.
 _RANGES = [(0, 14), (15, 29), (30, 44), (45, 60)]
 _PLACE = 20
-_FILTER_BITS = 27
+#: Two filters of 2**_FILTER_BITS bits (8 MB) are broadcast.
+_FILTER_BITS = 26
 _FIRST = -(1 << 63)
 
 
@@ -163,24 +164,6 @@ def _repeated(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"spot": found[often].view(np.int64)})
 
 
-def _filter(spots: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (2**27 bits, 16 MB) of the column ``spot``, built by Spark."""
-    mask = (1 << _FILTER_BITS) - 1
-    bits = spots.select(F.explode(F.array(F.col("spot").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("spot", 32).bitwiseAND(F.lit(mask)))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).toPandas()
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def _maybe(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    mask = np.uint64((1 << _FILTER_BITS) - 1)
-    ok = np.ones(len(spots), bool)
-    for s in (spots & mask, (spots >> np.uint64(32)) & mask):
-        ok &= (bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
 def _edge_spot(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """A number for an anchor and a range of starts."""
     return mix(mix(doc.astype(np.int64).view(np.uint64) + mark.view(np.uint64)) + at.astype(np.uint64) * np.uint64(4) + np.uint64(k))
@@ -193,7 +176,7 @@ def _entries(blocks: int, bits):
             made = []
             for t in chunk:
                 lead = t.leads()
-                ok = _maybe(own, lead)
+                ok = maybe_in(own, lead)
                 at = t.at[ok]
                 e = np.zeros(len(at), _ENTRY)
                 e["lead"], e["at"], e["doc"], e["mark"] = lead[ok], at, t.doc, t.mark
@@ -236,7 +219,7 @@ def _strings(blocks: int, bits):
                 n = len(t.bytes)
                 for k, (low, high) in enumerate(_RANGES) if len(t.at) else ():
                     doc, mark = np.full(len(t.at), t.doc), np.full(len(t.at), t.mark)
-                    at = t.at[_maybe(own, _edge_spot(doc, mark, t.at, k))]
+                    at = t.at[maybe_in(own, _edge_spot(doc, mark, t.at, k))]
                     start = np.unique((at[:, None] - np.arange(low, high + 1)[None, :]).ravel())
                     start = start[(start >= 0) & (start + WIDTH <= n)]
                     s = np.zeros(len(start), _STRING)
@@ -267,13 +250,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     source = docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"))
     blocks = int(max(64, docs.count() // 4000))
     leads = source.mapInArrow(_count_leads(blocks), "block int, keys binary, many binary").groupBy("block").applyInPandas(_repeated, "spot long")
-    bits = context.broadcast(_filter(scratch.keep(leads, "leads")))
+    bits = context.broadcast(filter_of(scratch.keep(leads, "leads"), _FILTER_BITS, "spot"))
     entries = scratch.keep(source.mapInArrow(_entries(blocks, bits), _OUT), "entries")
     sorted_ = scratch.keep(entries.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_anchors, _FOUND), "sorted")
     spans = scratch.keep(entries.where("block is null").select("doc", "mark", "a", "b").unionByName(sorted_.where("part < 0").select("doc", "mark", "a", "b")), "spans1")
     edges = scratch.keep(sorted_.where("part >= 0").select("spot"), "edges")
     scratch.drop("leads", "entries", "sorted")
-    bits = context.broadcast(_filter(edges))
+    bits = context.broadcast(filter_of(edges, _FILTER_BITS, "spot"))
     strings = scratch.keep(source.mapInArrow(_strings(blocks, bits), _OUT), "strings")
     last = strings.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_strings, "doc long, mark long, a int, b int")
     last = scratch.keep(strings.where("block is null").select("doc", "mark", "a", "b").unionByName(last), "spans2")
