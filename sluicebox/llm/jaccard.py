@@ -12,9 +12,10 @@ says how many; pairs with fewer are discarded, the others are verified on the
 whole sets. Nothing is approximate.
 
 Columns with very many nodes (one group of thousands of near copies) are not
-multiplied out. Their nodes are first linked through one of them; only pairs
-that this leaves in different components are then counted, so a group costs
-rows in proportion to its size.
+multiplied out column by column. Their nodes are first linked through one of
+them. Nodes that this leaves in different components are then compared group by
+group, in tiles of bounded size whose product counts whole intersections at
+once; a tile returns only as many links as connect its nodes.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pairs import PRODUCT, filter_of, in_filter, multiply, settle, split
+from .pairs import PRODUCT, filter_of, maybe_in, multiply, of_roots, settle, split, tiles
 from .scratch import Scratch
 from .words import batch_words, lowered, mix, shingles
 
@@ -156,7 +157,9 @@ def _whole_sets(width: int, bits):
     def run(batches):
         own = bits.value
         for _, sets in _sets(batches, width):
-            found = {node: s for node, s in ((node_of(s), s) for s in sets if len(s)) if in_filter(own, node)}
+            nodes = np.array([node_of(s) for s in sets], np.int64)
+            ok = maybe_in(own, nodes.view(np.uint64))
+            found = {int(nodes[k]): sets[k] for k in np.flatnonzero(ok) if len(sets[k])}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], schema=schema)
 
@@ -176,19 +179,106 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sets_of(source: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, s``: the whole sets of some nodes, computed anew from the texts."""
+    bits = source.sparkSession.sparkContext.broadcast(filter_of(nodes))
+    return source.mapInArrow(_whole_sets(width, bits), "node long, s binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+
+
 def _verify(source: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar."""
-    spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = spark.sparkContext.broadcast(filter_of(ends))
-    sets = source.mapInArrow(_whole_sets(width, bits), "node long, s binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-    sets = scratch.keep(sets, f"{name}_sets")
+    ends = scratch.keep(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node")), f"{name}_ends")
+    sets = scratch.keep(_sets_of(source, ends, width), f"{name}_sets")
     out = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     links = scratch.keep(out.mapInArrow(_linked, "a long, b long"), name)
-    scratch.drop(f"{name}_sets")
+    scratch.drop(f"{name}_sets", f"{name}_ends")
     return links
 
 
+def forest(n: int, links: np.ndarray) -> np.ndarray:
+    """Places of the links that connect what earlier ones leave apart."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(links.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            up[b] = a
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def multiply_sets(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of all intersections: a product of two incidence matrices, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    cols = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(a, b)
+    if not len(common):
+        return out
+    at_a, at_b = np.minimum(np.searchsorted(common, a), len(common) - 1), np.minimum(np.searchsorted(common, b), len(common) - 1)
+    in_a, in_b = common[at_a] == a, common[at_b] == b
+    rows, at_a, cols, at_b = rows[in_a], at_a[in_a], cols[in_b], at_b[in_b]
+    for begin in range(0, len(common), chunk):
+        width = min(chunk, len(common) - begin)
+        m, n = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        here = (at_a >= begin) & (at_a < begin + width)
+        m[rows[here], at_a[here] - begin] = 1
+        here = (at_b >= begin) & (at_b < begin + width)
+        n[cols[here], at_b[here] - begin] = 1
+        out += m @ n.T
+    return out
+
+
+def _tile(tile: pd.DataFrame) -> pd.DataFrame:
+    """Links between the nodes of a tile, as many as it takes to connect what they connect."""
+    left, right = tile[tile["left"]], tile[~tile["left"]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    x, y = ([np.frombuffer(s, np.uint64) for s in t["s"]] for t in (left, right))
+    n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    same = multiply_sets(x, y)
+    ok = 100 * same >= 80 * (n[:, None] + m[None, :] - same)
+    ok &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+    i, j = np.nonzero(ok)
+    nodes, index = np.unique(np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()]), return_inverse=True)
+    keep = forest(len(nodes), np.stack([index[: len(left)][i], index[len(left) :][j]], 1)) if len(i) else np.empty(0, np.int64)
+    return pd.DataFrame({"a": left["node"].to_numpy()[i[keep]], "b": right["node"].to_numpy()[j[keep]]})
+
+
+def _close(source: DataFrame, width: int, scratch: Scratch):
+    """Links between nodes that share long columns and differ by at most a tenth in size.
+
+    Such nodes share more than 0.04 of their size in prefix columns, so each node may leave out
+    the last of its columns' centres that hold no more than that together. Nodes with a centre
+    in common form a group, and groups are multiplied out in tiles, on whole sets.
+    """
+
+    def run(entries: DataFrame, roots: DataFrame) -> DataFrame:
+        weights = entries.groupBy("node", F.col("centre.node").alias("c")).agg(F.count("*").alias("weight"), F.first("size").alias("size"))
+        weights = scratch.keep(weights, "weights")
+        popular = scratch.keep(weights.groupBy("c").agg(F.count("*").alias("popular")), "popular")
+        # a node has at most as many centres as prefix columns
+        tail = Window.partitionBy("node").orderBy("popular", F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        needed = weights.join(popular, "c").withColumn("rest", F.sum("weight").over(tail)).where("rest > floor(size * 19 * 4 / 90D - size * 8 / 10D)")
+        owned = scratch.keep(needed.join(of_roots(roots, "node", "root"), "node", "left").select("c", "node", F.coalesce("root", "node").alias("root")), "owned")
+        shares = owned.groupBy("c", "root").agg(F.count("*").alias("n"))
+        main = shares.groupBy("c").agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+        groups = scratch.keep(owned.join(scratch.keep(main.drop("roots"), "mains"), "c"), "groups")
+        nodes = scratch.keep(groups.select("node").distinct(), "group_nodes")
+        sets = scratch.keep(_sets_of(source, nodes, width), "group_sets")
+        return tiles(groups.join(sets, "node"), ["s"]).groupBy("c", "i", "j").applyInPandas(_tile, "a long, b long").distinct()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = WIDTH, longest: int = LONG, often: int = OFTEN) -> DataFrame:
     """``doc_id, n_shingles, component_id, node``, one row per row of ``docs``.
 
@@ -213,7 +303,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     postings = source.select("doc_id", "text").mapInArrow(_postings(width, blocks, frequent), "block int, keys binary, nodes binary, sizes binary")
     product = scratch.keep(postings.groupBy("block").applyInPandas(multiply(longest), PRODUCT), "product")
 
-    roots = settle(product, _ENOUGH, lambda pairs, name: _verify(source, pairs, width, scratch, name), scratch)
+    roots = settle(product, _ENOUGH, lambda pairs, name: _verify(source, pairs, width, scratch, name), scratch, _close(source, width, scratch))
     whole = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")

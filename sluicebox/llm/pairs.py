@@ -103,47 +103,82 @@ def in_filter(bits: np.ndarray, node: int) -> bool:
     return bool(maybe_in(bits, np.array([node], np.int64).view(np.uint64))[0])
 
 
-def settle(product: DataFrame, enough: str, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch) -> DataFrame:
+def of_roots(roots: DataFrame, column: str, name: str) -> DataFrame:
+    return roots.select(F.col("node").alias(column), F.col("root").alias(name))
+
+
+def first_pairs(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """One pair for each node: with the partner that it overlaps most, and with the node that
+    most of its long columns name."""
+    both = pairs.select("a", "b", "overlap").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
+    some = both.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
+    named = entries.where("centre.node <> node and 10 * least(centre.size, size) >= 8 * greatest(centre.size, size)").groupBy(F.col("node").alias("a"), F.col("centre.node").alias("b")).agg(F.count("*").alias("n"))
+    named = named.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return some.unionByName(named).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def crossing_pairs(entries: DataFrame, roots: DataFrame, enough: str, sizes: str, scratch: Scratch) -> DataFrame:
+    """Pairs between components that share long columns and whose sizes meet a condition. Only
+    nodes outside a column's main component are joined with its others."""
+    owned = entries.join(of_roots(roots, "node", "root"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    shares = owned.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    split_ = scratch.keep(owned.join(main.select("key", "main"), "key"), "split")
+    minor = split_.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    other = split_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), (F.col("root") == F.col("main")).alias("major"))
+    found = minor.join(other, "key").where(f"root_a <> root_b and (major or a < b) and 10 * least(size_a, size_b) >= 8 * greatest(size_a, size_b) and {sizes}")
+    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    return found.where(enough.format("overlap")).select("a", "b")
+
+
+TILE = 1024
+
+
+def tiles(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """``c, i, j, left, node, root`` and columns: nodes of groups dealt to tiles: every node outside its group's main component meets every
+    other node of the group in one tile of at most about TILE x TILE.
+
+    ``groups``: c, node, root, main, members and ``columns``. A group of m nodes sends a node to
+    m / TILE tiles, and no tile grows with its group.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)).cast("int")
+    dealt = groups.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    every = F.explode(F.expr("sequence(0, n - 1)"))
+    left = dealt.where("root <> main").withColumn("j", every).select("c", F.col("own").alias("i"), "j", F.lit(True).alias("left"), "node", "root", *columns)
+    right = dealt.withColumn("i", every).select("c", "i", F.col("own").alias("j"), F.lit(False).alias("left"), "node", "root", *columns)
+    return left.unionByName(right)
+
+
+def settle(product: DataFrame, enough: str, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, close: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node, root`` of the components of verified links, from the product of all blocks.
 
     ``enough`` is SQL with a place for the overlap of a pair: whether size_a and size_b allow a
     link. ``verify`` (pairs, name) returns the pairs that link; it sees one pair for each node
-    first, then only pairs that this leaves in different components.
+    first, then only pairs that this leaves in different components. ``close`` (entries, roots)
+    gives the links that long columns hold between nodes of nearly one size; without it those
+    pairs are listed and verified like the others.
     """
     entries = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("size_a").alias("size")).distinct()
     lengths = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("centre")).where("n > 1")
-    entries = scratch.keep(entries.join(lengths.select("key", "centre"), "key"), "entries")
+    entries = scratch.keep(entries.join(scratch.keep(lengths.select("key", "centre"), "lengths"), "key"), "entries")
     in_long = entries.groupBy("node").agg(F.count("*").alias("in_long"))
 
     pairs = product.where("kind = 0").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     pairs = pairs.join(in_long.select(F.col("node").alias("a"), F.col("in_long").alias("long_a")), "a", "left").join(in_long.select(F.col("node").alias("b"), F.col("in_long").alias("long_b")), "b", "left")
     # overlaps within long columns are not counted yet: at most so many
-    pairs = scratch.keep(pairs.where(enough.format("overlap + least(coalesce(long_a, 0), coalesce(long_b, 0))")).select("a", "b"), "pairs")
+    pairs = scratch.keep(pairs.where(enough.format("overlap + least(coalesce(long_a, 0), coalesce(long_b, 0))")).select("a", "b", "overlap"), "pairs")
 
-    # first, one pair for each node: with its smallest partner, and with the node that most of its long columns name
-    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    named = entries.where("centre.node <> node and 10 * centre.size >= 8 * size").groupBy("node", F.col("centre.node").alias("centre")).agg(F.count("*").alias("n"))
-    named = named.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-    first = scratch.keep(some.unionByName(named.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct(), "first")
+    first = scratch.keep(first_pairs(pairs, entries), "first")
     links = verify(first, "links1")
     roots = scratch.keep(connected(links, scratch, "roots1"), "roots_first")
+    if close:
+        links = links.unionByName(scratch.keep(close(entries, roots), "close"))
+        roots = scratch.keep(connected(links, scratch, "roots2"), "roots_close")
 
-    # then every pair that is still between components
-    def of(column: str, name: str):
-        return roots.select(F.col("node").alias(column), F.col("root").alias(name))
-
-    open_pairs = pairs.join(of("a", "root_a"), "a", "left").join(of("b", "root_b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    owned = entries.join(of("node", "root"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    shares = owned.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    split = scratch.keep(owned.join(main.select("key", "main"), "key"), "split")
-    minor = split.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    other = split.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), (F.col("root") == F.col("main")).alias("major"))
-    crossing = minor.join(other, "key").where("root_a <> root_b and (major or a < b) and 10 * least(size_a, size_b) >= 8 * greatest(size_a, size_b)")
-    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")).where(enough.format("overlap")).select("a", "b")
+    open_pairs = pairs.join(of_roots(roots, "a", "root_a"), "a", "left").join(of_roots(roots, "b", "root_b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    crossing = crossing_pairs(entries, roots, enough, "10 * least(size_a, size_b) < 9 * greatest(size_a, size_b)" if close else "true", scratch)
     second = scratch.keep(open_pairs.unionByName(crossing).distinct().join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         links = links.unionByName(verify(second, "links2"))
-        roots = scratch.keep(connected(links, scratch, "roots2"), "roots_last")
-
+        roots = scratch.keep(connected(links, scratch, "roots3"), "roots_last")
     return roots.select("node", "root")
