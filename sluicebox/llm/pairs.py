@@ -99,10 +99,6 @@ def maybe_in(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return ok
 
 
-def in_filter(bits: np.ndarray, node: int) -> bool:
-    return bool(maybe_in(bits, np.array([node], np.int64).view(np.uint64))[0])
-
-
 def of_roots(roots: DataFrame, column: str, name: str) -> DataFrame:
     return roots.select(F.col("node").alias(column), F.col("root").alias(name))
 
