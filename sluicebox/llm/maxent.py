@@ -37,7 +37,7 @@ from .scratch import Scratch
 from .words import batch_words, lowered, mix
 
 #: Most frequent words with an entry of their own in the dictionary that tasks get.
-DICTIONARY = 1 << 19
+DICTIONARY = 1 << 17
 GROUPS, BINS = 6, 5
 RARE, END = GROUPS * BINS, GROUPS * BINS + 1
 CLASSES = END + 1
