@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import text_print
 from .pairs import PRODUCT, filter_of, maybe_in, multiply, of_roots, settle, split, tiles
 from .scratch import Scratch
 from .words import batch_words, lowered, mix, shingles
@@ -43,8 +44,8 @@ _RANGE = int(0.24 * 2**64)
 _CHUNK = 1000
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int):
-    """Per chunk of documents: ids, sets."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int, with_texts: bool = False):
+    """Per chunk of documents: ids, sets, and their texts if asked for."""
     for batch in batches:
         for part in (batch.slice(i, _CHUNK) for i in range(0, batch.num_rows, _CHUNK)):
             texts = [lowered(t) for t in part.column(1).to_pylist()]
@@ -54,7 +55,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
                 for n in counts:
                     sets.append(shingles(words[at : at + n], width))
                     at += n
-            yield part.column(0), sets
+            yield (part.column(0), sets, part.column(1)) if with_texts else (part.column(0), sets)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -68,16 +69,16 @@ def prefix_length(n: int) -> int:
 
 def _count_columns(width: int, blocks: int):
     """Rows of documents (block null) and of counted columns (block set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for ids, sets in _sets(batches, width):
-            out = [(i, node_of(s), len(s), None, None, None) for i, s in zip(ids.to_pylist(), sets, strict=True)]
+        for ids, sets, texts in _sets(batches, width, True):
+            out = [(i, text_print(t.as_py()), node_of(s), len(s), None, None, None) for i, s, t in zip(ids.to_pylist(), sets, texts, strict=True)]
             low = [s[: np.searchsorted(s, np.uint64(_RANGE))] for s in sets]
             keys, counts = np.unique(np.concatenate(low) if low else np.empty(0, np.uint64), return_counts=True)
             # blocks of the counted range only
             for block, at in split(keys * np.uint64(4), blocks):
-                out.append((None, None, None, block, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes() if counts[at].max() > 1 else b""))
+                out.append((None, None, None, None, block, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes() if counts[at].max() > 1 else b""))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -280,21 +281,22 @@ def _close(source: DataFrame, width: int, scratch: Scratch):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = WIDTH, longest: int = LONG, often: int = OFTEN) -> DataFrame:
-    """``doc_id, n_shingles, component_id, node``, one row per row of ``docs``.
+    """``doc_id, mark, n_shingles, component_id, root``, one row per row of ``docs``.
 
     Two documents link when their sets of ``width``-word shingles have a Jaccard index of 0.8 or
     more; component_id is the smallest id that links reach. Fewer words than ``width`` make one
     shingle; null, empty and blank texts have none, link with nothing and are alone. Repeated
     rows are linked like any equal texts. Null ids count as no id in the smallest; a component
-    of null ids only has a null component_id. Other columns are not read.
+    of null ids only has a null component_id. Other columns are not read. ``mark`` is a
+    fingerprint of the text, ``root`` a number of the component (null where there are no words).
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = int(max(64, docs.count() // 4000))
 
-    counted = scratch.keep(source.mapInArrow(_count_columns(width, blocks), "doc_id long, node long, n long, block int, keys binary, counts binary"), "counted")
-    documents = scratch.keep(counted.where("block is null").select("doc_id", "node", "n"), "documents")
+    counted = scratch.keep(source.mapInArrow(_count_columns(width, blocks), "doc_id long, mark long, node long, n long, block int, keys binary, counts binary"), "counted")
+    documents = scratch.keep(counted.where("block is null").select("doc_id", "mark", "node", "n"), "documents")
     often_found = counted.where("block is not null").groupBy("block").applyInPandas(_frequent(often), "key long, df long")
     # at most FREQUENT numbers
     frequent = np.sort(often_found.orderBy(F.desc("df"), "key").limit(FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
@@ -306,7 +308,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     roots = settle(product, _ENOUGH, lambda pairs, name: _verify(source, pairs, width, scratch, name), scratch, _close(source, width, scratch))
     whole = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return whole.join(least, "root", "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of the smallest id (null ids
+    come last; ties go by a fingerprint of the text). Of rows that repeat an id and its text one
+    stays. Rows without words are alone in their components and stay, repeats apart."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = scratch.keep(near_duplicates(docs, text, id_column), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")
+    keep = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.mark")
+    keep = scratch.keep(keep.unionByName(found.where("root is null").select("doc_id", "mark").distinct()), "keep")
+
+    @F.pandas_udf("long")
+    def mark_of(texts):
+        return pd.Series([text_print(t) for t in texts.tolist()], index=texts.index, dtype="int64")
+
+    marked = docs.withColumn("__mark", mark_of(F.col(text).cast("string")))
+    kept = marked.join(keep.withColumnsRenamed({"doc_id": "__doc", "mark": "__other"}), F.col(id_column).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__other")), "left_semi")
+    if not found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_column, "__mark"])
+    return kept.drop("__mark")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

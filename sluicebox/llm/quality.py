@@ -120,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return fit_pairs(x, found.quality.to_numpy())
 
 
-def score(docs: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``quality_score`` (0 to 1; ACCEPT where there is no model).
+def score(docs: DataFrame, model: QualityModel | None, text: str = "text", into: str = "quality_score") -> DataFrame:
+    """``docs`` with a column of scores (0 to 1; ACCEPT where there is no model).
 
     Scores depend on the text alone. Null and empty texts have all features zero and get the
     model's score for that; repeated rows get equal scores.
@@ -136,7 +136,13 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text") -> Da
         values = texts.tolist()
         return pd.Series(np.concatenate([model.scores(features(values[i : i + 512])) for i in range(0, len(values), 512)] or [np.empty(0)]), index=texts.index)
 
-    return docs.withColumn("quality_score", of(F.col(text).cast("string")))
+    return docs.withColumn(into, of(F.col(text).cast("string")))
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that reach ACCEPT, with their columns."""
+    mark = "__quality"
+    return score(docs, model, text, mark).where(F.col(mark) >= ACCEPT).drop(mark)
 
 
 def held_out(doc_id: str, parts: int, remainder: int):
