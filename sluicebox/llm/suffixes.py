@@ -56,7 +56,9 @@ class _Text:
         if n < WIDTH:
             return np.empty(0, np.int64)
         count, span = n - LEAD + 1, _REACH + 1
-        lead = mix((self.sums[LEAD:] - self.sums[:-LEAD]) * powers(count, inverse=True))
+        lead = (self.sums[LEAD:] - self.sums[:-LEAD]) * powers(count, inverse=True)
+        lead ^= lead >> np.uint64(29)
+        lead *= np.uint64(0xBF58476D1CE4E5B9)
         found, step = [], (1 << _PLACE) - span
         for begin in range(0, count - span + 1, step):
             part = lead[begin : begin + step + span - 1]
@@ -126,18 +128,32 @@ def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ENTRY = np.dtype([("lead", "<u8"), ("whole", "<u8"), ("parts", "<u8", (4,)), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8"), ("a", "<i4"), ("b", "<i4")])
-_STRING = np.dtype([("print", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8")])
+_STRING = np.dtype([("lead", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8")])
 _OUT = "block int, packed binary, doc long, mark long, a int, b int"
 _FOUND = "part int, spot long, doc long, mark long, a int, b int"
 
 
+def _runs(doc: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+    """Spans of each document as maximal runs."""
+    if not len(doc):
+        return doc, mark, a, b
+    order = np.lexsort((a, mark, doc))
+    doc, mark, a, b = doc[order], mark[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    other = np.concatenate([[False], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
+    shift = np.cumsum(other) << 40  # documents one after another on one line
+    reach = np.maximum.accumulate(b + shift)
+    new = np.concatenate([[True], (a + shift)[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)
+    return doc[new], mark[new], a[new], reach[last] - shift[last]
+
+
 def _rows(blocks: list[tuple[int, bytes]], spans: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Packed entries by block, and spans that are settled already (block null)."""
     schema = pa.schema([("block", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     if blocks:
         none = pa.nulls(len(blocks))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary()), *(none.cast(f.type) for f in list(schema)[2:])], schema=schema)
-    for doc, mark, a, b in spans:
+    for doc, mark, a, b in (_runs(*s) for s in spans):
         n = len(doc)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc), pa.array(mark), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], schema=schema)
 
@@ -199,7 +215,8 @@ def _sort_anchors(block: pd.DataFrame) -> pd.DataFrame:
     e = e[order]
     again = e[~first]
     again = again[again["b"] - again["a"] >= WIDTH]
-    out = [pd.DataFrame({"part": -1, "spot": 0, "doc": again["doc"], "mark": again["mark"], "a": again["a"], "b": again["b"]})]
+    doc, mark, a, b = _runs(again["doc"], again["mark"], again["a"], again["b"])
+    out = [pd.DataFrame({"part": -1, "spot": 0, "doc": doc, "mark": mark, "a": a.astype(np.int32), "b": b.astype(np.int32)})]
     heads = e[first]
     for k in range(len(_RANGES)):
         part = heads["parts"][:, k]
@@ -210,36 +227,45 @@ def _sort_anchors(block: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _strings(blocks: int, bits):
+def _strings(blocks: int, lead_bits, bits):
     def run(batches):
-        own = bits.value
+        leads, own = lead_bits.value, bits.value
         for chunk in _texts(batches):
             made = []
             for t in chunk:
-                n = len(t.bytes)
-                for k, (low, high) in enumerate(_RANGES) if len(t.at) else ():
-                    doc, mark = np.full(len(t.at), t.doc), np.full(len(t.at), t.mark)
-                    at = t.at[maybe_in(own, _edge_spot(doc, mark, t.at, k))]
-                    start = np.unique((at[:, None] - np.arange(low, high + 1)[None, :]).ravel())
-                    start = start[(start >= 0) & (start + WIDTH <= n)]
+                if not len(t.at):
+                    continue
+                lead = t.leads()
+                ok = maybe_in(leads, lead)
+                places, lead, n = t.at[ok], lead[ok], len(t.bytes)
+                doc, mark = np.full(len(places), t.doc), np.full(len(places), t.mark)
+                for k, (low, high) in enumerate(_RANGES):
+                    edge = maybe_in(own, _edge_spot(doc, mark, places, k))
+                    start = (places[edge][:, None] - np.arange(low, high + 1)[None, :]).ravel()
+                    ok = (start >= 0) & (start + WIDTH <= n)
+                    if not ok.any():
+                        continue
+                    start = start[ok]
                     s = np.zeros(len(start), _STRING)
+                    s["lead"] = np.repeat(lead[edge], high - low + 1)[ok]
                     s["print"], s["doc"], s["mark"], s["at"] = fingerprints(t.sums, start, start + WIDTH), t.doc, t.mark, start
                     made.append(s)
             if not made:
                 continue
             s = np.concatenate(made)
-            order, first = _first_of([s["print"], s["doc"], s["mark"], s["at"]])
+            order, first = _first_of([s["lead"], s["print"], s["doc"], s["mark"], s["at"]])
             again, s = s[order[~first]], s[order[first]]
-            yield from _rows([(b, s[x].tobytes()) for b, x in split(np.ascontiguousarray(s["print"]), blocks)], [(again["doc"], again["mark"], again["at"], again["at"] + WIDTH)])
+            yield from _rows([(b, s[x].tobytes()) for b, x in split(np.ascontiguousarray(s["lead"]), blocks)], [(again["doc"], again["mark"], again["at"], again["at"] + WIDTH)])
 
     return run
 
 
 def _sort_strings(block: pd.DataFrame) -> pd.DataFrame:
     s = np.frombuffer(b"".join(block["packed"]), _STRING)
-    order, first = _first_of([s["print"], s["doc"], s["mark"], s["at"]])
+    order, first = _first_of([s["lead"], s["print"], s["doc"], s["mark"], s["at"]])
     again = s[order[~first]]
-    return pd.DataFrame({"doc": again["doc"], "mark": again["mark"], "a": again["at"].astype(np.int32), "b": (again["at"] + WIDTH).astype(np.int32)})
+    doc, mark, a, b = _runs(again["doc"], again["mark"], again["at"], again["at"] + WIDTH)
+    return pd.DataFrame({"doc": doc, "mark": mark, "a": a.astype(np.int32), "b": b.astype(np.int32)})
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -250,14 +276,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     source = docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"))
     blocks = int(max(64, docs.count() // 4000))
     leads = source.mapInArrow(_count_leads(blocks), "block int, keys binary, many binary").groupBy("block").applyInPandas(_repeated, "spot long")
-    bits = context.broadcast(filter_of(scratch.keep(leads, "leads"), _FILTER_BITS, "spot"))
-    entries = scratch.keep(source.mapInArrow(_entries(blocks, bits), _OUT), "entries")
+    lead_bits = context.broadcast(filter_of(scratch.keep(leads, "leads"), _FILTER_BITS, "spot"))
+    entries = scratch.keep(source.mapInArrow(_entries(blocks, lead_bits), _OUT), "entries")
     sorted_ = scratch.keep(entries.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_anchors, _FOUND), "sorted")
     spans = scratch.keep(entries.where("block is null").select("doc", "mark", "a", "b").unionByName(sorted_.where("part < 0").select("doc", "mark", "a", "b")), "spans1")
     edges = scratch.keep(sorted_.where("part >= 0").select("spot"), "edges")
     scratch.drop("leads", "entries", "sorted")
     bits = context.broadcast(filter_of(edges, _FILTER_BITS, "spot"))
-    strings = scratch.keep(source.mapInArrow(_strings(blocks, bits), _OUT), "strings")
+    strings = scratch.keep(source.mapInArrow(_strings(blocks, lead_bits, bits), _OUT), "strings")
     last = strings.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_strings, "doc long, mark long, a int, b int")
     last = scratch.keep(strings.where("block is null").select("doc", "mark", "a", "b").unionByName(last), "spans2")
     scratch.drop("strings", "edges")
