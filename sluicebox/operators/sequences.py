@@ -31,11 +31,11 @@ class Sequence:
         return self.aligned() + n * self.increment
 
     def min_value(self, n: int) -> int:
-        """The first of the last n values handed out, at least start."""
-        last = self.value - (self.value - self.start) % self.increment if self.value > self.start else self.start
-        if last == self.value and self.value > self.start:
-            last -= self.increment * 0
-        return max(self.start, last - n * self.increment + (self.increment if last != self.value else 0))
+        """The value n steps back from the current one, which counts as the last of the sequence
+        that it reaches; at least start."""
+        if self.value <= self.start:
+            return self.start
+        return max(self.start, self.value - (self.value - self.start) % self.increment - n * self.increment)
 
 
 @dataclass

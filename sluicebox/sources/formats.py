@@ -103,6 +103,13 @@ def flattened(df: DataFrame) -> DataFrame:
         df = df.select(*columns)
 
 
+def _element(fmt: TextFormat, fields: list[T.StructField]):
+    def text(x: Column) -> Column:
+        return F.concat_ws(fmt.field, *[fmt.cell(x[g.name], g.dataType) for g in fields])
+
+    return text
+
+
 def depth_lines(df: DataFrame, outer: TextFormat, inner: dict[str, TextFormat], name: str = "line") -> DataFrame:
     """One line per record, with arrays of structs in a format of their own: a header record and
     one record per element, joined by the inner record separator."""
@@ -113,8 +120,9 @@ def depth_lines(df: DataFrame, outer: TextFormat, inner: dict[str, TextFormat],
             continue
         fmt, fields = inner[f.name], f.dataType.elementType.fields
         head = fmt.field.join(f"{fmt.quote}{f.name}.{g.name}{fmt.quote}" for g in fields)
-        body = F.transform(F.col(f.name), lambda x, fmt=fmt, fields=fields: F.concat_ws(fmt.field, *[fmt.cell(x[g.name], g.dataType) for g in fields]))
-        cells.append(F.coalesce(F.concat_ws(fmt.record, F.lit(head), F.array_join(body, fmt.record)), F.lit(outer.null)))
+        body = F.transform(F.col(f.name), _element(fmt, fields))
+        text = F.concat_ws(fmt.record, F.lit(head), F.array_join(body, fmt.record))
+        cells.append(F.when(F.col(f.name).isNotNull(), text).otherwise(F.lit(outer.null)))
     return df.select(F.concat_ws(outer.field, *cells).alias(name))
 
 
