@@ -171,7 +171,7 @@ def test_language_model(docs, rows, empty):
 
 def test_lines(spark, empty):
     a = "this is a rather long line that several documents have in common"
-    b = a.replace("rather", "rathe")
+    b = f"  {a.title()} "
     rows = [(1, f"own first words of one here\n{a}"), (2, f"{b}\nShort one"), (3, a.upper()), (4, "Short one\nother things that nobody else has said"), (5, None), (6, ""), (7, f"{a}\n{a}"), (None, "a line of the null id document\nShort one"), (7, f"{a}\n{a}")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, removed string")
     out = sorted(((r.doc_id, r.text, r.gone) for r in lines.dedup_lines(docs, removed="gone").collect()), key=repr)
@@ -179,6 +179,20 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_fuzzy_lines(spark):
+    """The method finds most pairs of long lines that differ in a word, and joins no others."""
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        w = [draw.choice(vocabulary) for _ in range(60)]
+        rows.append((k, " ".join(w)))
+        w[draw.randrange(60)] = "changed"
+        rows.append((100 + k, " ".join(w)))
+    gone = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="gone").where("gone > 0").collect()}
+    assert all(k >= 100 for k in gone) and len(gone) >= 42
+
+
 def test_secrets(docs, rows, empty):
     got = secrets.scan(docs, None)
     assert got.count() == len(rows) and got.where("spans <> ''").count() == 0
