@@ -331,13 +331,14 @@ def _score(shared, blocks: int):
                 for k in range(last - first):
                     out.append((ids_of[first + k], int(keys[first + k]), int(lengths[k]), int(known[k]), float(base[k]), float(score[k]), int(n_rare[k]), None, None))
                 if is_rare.any():
-                    doc = np.repeat(keys[first:last], lengths)[is_rare]
+                    # by row: rows that repeat share a key, and are made one when they meet
+                    doc = np.repeat(np.arange(first, last), lengths)[is_rare]
                     word = ids[is_rare]
                     order = np.lexsort((doc, word))
                     word, doc = word[order], doc[order]
                     edge = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]))
                     r = np.zeros(len(edge), _RARE)
-                    r["word"], r["key"], r["times"] = word[edge], doc[edge], np.diff(np.append(edge, len(word)))
+                    r["word"], r["key"], r["times"] = word[edge], keys[doc[edge]], np.diff(np.append(edge, len(word)))
                     rare.append(r)
             if rare:
                 r = np.concatenate(rare)
