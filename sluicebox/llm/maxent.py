@@ -119,26 +119,33 @@ def _words_of(least: int):
     return run
 
 
-def groups_of(profiles: np.ndarray, groups: int = GROUPS, rounds: int = 15, fit_on: int = 50_000) -> np.ndarray:
-    """The likeliest component of each word in a mixture of multinomials; words come by falling count."""
+def groups_of(profiles: np.ndarray, groups: int = GROUPS, rounds: int = 20, fit_on: int = 50_000, seeds: int = 400, tries: int = 12) -> np.ndarray:
+    """The likeliest component of each word in a mixture of multinomials; words come by falling
+    count. The mixture begins at the best of several k-means runs over the first words."""
     if not len(profiles):
         return np.empty(0, np.int64)
     x = profiles[:fit_on].astype(float)
-    share = (x + 0.5) / (x + 0.5).sum(1, keepdims=True)
-    centres = [share[0]]
-    weight = np.sqrt(x.sum(1))
-    for _ in range(groups - 1):  # the farthest word, with its count in view
-        gap = np.min([((share - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(share[int((gap * np.minimum(weight, 30)).argmax())])
-    theta, prior = np.log(np.array(centres)), np.zeros(groups)
+    whole = (x.sum(0) + 0.01) / (x.sum(0) + 0.01).sum()
+    shape = np.sqrt((x[:seeds] + 5 * whole) / (x[:seeds].sum(1, keepdims=True) + 5))
+    draw = np.random.Generator(np.random.PCG64(3))
+    best, cost = shape[:1], np.inf
+    for _ in range(tries):
+        centres = shape[draw.choice(len(shape), min(groups, len(shape)), replace=False)]
+        for _ in range(25):
+            near = ((shape[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.stack([shape[near == k].mean(0) if (near == k).any() else shape[draw.integers(len(shape))] for k in range(len(centres))])
+        now = ((shape[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+        if now < cost:
+            best, cost = centres, now
+    theta, prior = np.log(best**2 / (best**2).sum(1, keepdims=True)), np.zeros(len(best))
+    x *= np.minimum(1, 200 / x.sum(1))[:, None]  # no word counts for more than 200
     for _ in range(rounds):
-        like = x @ theta.T * 0.25 + prior
-        like -= like.max(1, keepdims=True)
-        r = np.exp(like)
+        like = x @ theta.T + prior
+        r = np.exp(like - like.max(1, keepdims=True))
         r /= r.sum(1, keepdims=True)
-        mass = r.T @ (x * (np.minimum(1, 200 / x.sum(1)))[:, None]) + 1.0
+        mass = r.T @ x + 20 * whole
         theta = np.log(mass / mass.sum(1, keepdims=True))
-        prior = np.log(r.sum(0) + 1) - np.log(len(x) + groups)
+        prior = np.log(r.sum(0) + 1) - np.log(len(x) + len(best))
     return np.concatenate([(profiles[i : i + 65536] @ theta.T.astype(np.float32) + prior).argmax(1) for i in range(0, len(profiles), 65536)])
 
 
