@@ -31,23 +31,25 @@ def split(keys: np.ndarray, blocks: int) -> Iterator[tuple[int, slice]]:
 
 def multiply(longest: int):
     """One block of the product. kind 0: a pair of nodes with its overlap here; kind 1: an entry
-    (a: column, b: node) of a column too long to multiply out."""
+    (a: column, b: node) of a column too long to multiply out, its overlap 1 where it is marked
+    early (the top bit of its size)."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(block["keys"]), np.uint64)
         nodes = np.frombuffer(b"".join(block["nodes"]), np.int64)
-        sizes = np.frombuffer(b"".join(block["sizes"]), np.uint32).astype(np.int64)
+        sizes = np.frombuffer(b"".join(block["sizes"]), np.uint32)
+        early, sizes = sizes >> 31 > 0, (sizes & np.uint32(0x7FFFFFFF)).astype(np.int64)
         order = np.lexsort((nodes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        keys, nodes, sizes, early = keys[order], nodes[order], sizes[order], early[order]
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
-        keys, nodes, sizes = keys[first], nodes[first], sizes[first]
+        keys, nodes, sizes, early = keys[first], nodes[first], sizes[first], early[first]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.concatenate([start, [len(keys)]]))
         hot = bool(block["block"].iloc[0] < 0)
         out = []
         long = np.repeat(length > (0 if hot else longest), length)
         if long.any():
-            out.append(pd.DataFrame({"kind": 1, "a": keys[long].view(np.int64), "b": nodes[long], "size_a": sizes[long], "size_b": 0, "overlap": 0}))
+            out.append(pd.DataFrame({"kind": 1, "a": keys[long].view(np.int64), "b": nodes[long], "size_a": sizes[long], "size_b": 0, "overlap": early[long].astype(np.int64)}))
         left, right = [], []
         for n in range(2, longest + 1) if not hot else ():
             rows = start[length == n]
@@ -113,18 +115,28 @@ def first_pairs(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return some.unionByName(named).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def crossing_pairs(entries: DataFrame, roots: DataFrame, enough: str, sizes: str, scratch: Scratch) -> DataFrame:
-    """Pairs between components that share long columns and whose sizes meet a condition. Only
-    nodes outside a column's main component are joined with its others."""
+def crossing_pairs(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs between components that share long columns. Only nodes outside a column's main
+    component are joined with its others."""
     owned = entries.join(of_roots(roots, "node", "root"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     shares = owned.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
     split_ = scratch.keep(owned.join(main.select("key", "main"), "key"), "split")
     minor = split_.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
     other = split_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), (F.col("root") == F.col("main")).alias("major"))
-    found = minor.join(other, "key").where(f"root_a <> root_b and (major or a < b) and 10 * least(size_a, size_b) >= 8 * greatest(size_a, size_b) and {sizes}")
-    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    return found.where(enough.format("overlap")).select("a", "b")
+    found = minor.join(other, "key").where("root_a <> root_b and (major or a < b) and 10 * least(size_a, size_b) >= 8 * greatest(size_a, size_b)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def unequal_pairs(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs between components whose sizes differ by more than a tenth and that share a long
+    column which stands early in the smaller one."""
+    owned = entries.join(of_roots(roots, "node", "root"), "node", "left").select("key", "node", "size", "early", F.coalesce("root", "node").alias("root"))
+    owned = scratch.keep(owned, "owned_entries")
+    less = owned.where("early").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    more = owned.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    found = less.join(more, "key").where("root_a <> root_b and 10 * size_a < 9 * size_b and 10 * size_a >= 8 * size_b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 TILE = 1024
@@ -151,10 +163,10 @@ def settle(product: DataFrame, enough: str, verify: Callable[[DataFrame, str], D
     ``enough`` is SQL with a place for the overlap of a pair: whether size_a and size_b allow a
     link. ``verify`` (pairs, name) returns the pairs that link; it sees one pair for each node
     first, then only pairs that this leaves in different components. ``close`` (entries, roots)
-    gives the links that long columns hold between nodes of nearly one size; without it those
-    pairs are listed and verified like the others.
+    gives the links that long columns hold between nodes of nearly one size; then only pairs of
+    unequal sizes are listed and verified. Without it all pairs between components are.
     """
-    entries = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("size_a").alias("size")).distinct()
+    entries = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("size_a").alias("size"), (F.col("overlap") > 0).alias("early")).distinct()
     lengths = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("centre")).where("n > 1")
     entries = scratch.keep(entries.join(scratch.keep(lengths.select("key", "centre"), "lengths"), "key"), "entries")
     in_long = entries.groupBy("node").agg(F.count("*").alias("in_long"))
@@ -172,7 +184,7 @@ def settle(product: DataFrame, enough: str, verify: Callable[[DataFrame, str], D
         roots = scratch.keep(connected(links, scratch, "roots2"), "roots_close")
 
     open_pairs = pairs.join(of_roots(roots, "a", "root_a"), "a", "left").join(of_roots(roots, "b", "root_b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    crossing = crossing_pairs(entries, roots, enough, "10 * least(size_a, size_b) < 9 * greatest(size_a, size_b)" if close else "true", scratch)
+    crossing = unequal_pairs(entries, roots, scratch) if close else crossing_pairs(entries, roots, scratch)
     second = scratch.keep(open_pairs.unionByName(crossing).distinct().join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         links = links.unionByName(verify(second, "links2"))
