@@ -1,7 +1,6 @@
 """Specs, projections, reads and pages."""
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicebox.errors import UnmatchedColumns
@@ -146,5 +145,3 @@ def test_json_and_bit(spark):
     assert (a.o.Id, a.b, b.o, b.b) == (7, True, None, False)
 
 
-def test_functions_exist():
-    assert F.col("x") is not None
