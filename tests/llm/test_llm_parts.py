@@ -203,3 +203,51 @@ def test_alignment_and_addresses():
     assert html.shared([], [1]) == set()
     assert html.address("https://H.example/a/b.html?x#y") == ("h.example", "/a/b")
     assert html.address(None) == (None, "") and html.address("http://[bad") == (None, "")
+
+
+def line_pairs_met(texts):
+    keys, line = lines.line_keys(texts)
+    own = [set() for _ in texts]
+    for k, i in zip(keys.tolist(), line.tolist(), strict=True):
+        own[i].add(k)
+    return own
+
+
+def test_line_recall():
+    """Recall of the join on lines of sf0.01, by words, against brute force."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    own = {x for t in docs for _, x in lines._eligible(t)}
+    points = {x: np.frombuffer(x.decode().encode("utf-32-le"), np.uint32).astype(np.int64) for x in own}
+    texts = sorted(own, key=lambda x: (len(points[x]), x))
+    size = np.array([len(points[x]) for x in texts])
+    # an edit changes at most four counts of hashed pairs of characters by one
+    counts = np.array([np.bincount((points[x][1:] * 1315423911 + points[x][:-1] * 2654435761 >> 7) % 256, minlength=256) for x in texts], np.int16)
+    met, found, groups = line_pairs_met(texts), {}, ((5, 10), (10, 20), (20, 40), (40, 1 << 30))
+    for i in range(0, len(texts), 40):
+        low, high = np.searchsorted(size, [0.8 * size[i] - 1e-9, size[i] / 0.8 + 1e-9], "left")
+        near = np.abs(counts[low:high] - counts[i]).sum(1, dtype=np.int64) <= 4 * np.floor(0.2 * np.maximum(size[low:high], size[i]) + 1e-9)
+        for j in (np.flatnonzero(near) + low).tolist():
+            if i != j and lines.similar(texts[i], texts[j]):
+                words_ = min(texts[i].count(b" "), texts[j].count(b" ")) + 1
+                found.setdefault(next((g for g in groups if g[0] <= words_ < g[1]), (0, 5)), []).append(bool(met[i] & met[j]))
+    assert sum(map(len, found.values())) >= 5
+    for group, hits in found.items():
+        assert sum(hits) >= 0.95 * len(hits), (group, sum(hits), len(hits))
+
+
+def test_line_keys_of_one_changed_word():
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 8))) for _ in range(3000)]
+    for n in (8, 12, 30, 60):
+        pairs = []
+        for _ in range(200):
+            w = [draw.choice(vocabulary) for _ in range(n)]
+            pairs.append(" ".join(w).encode())
+            w[draw.randrange(n)] = draw.choice(vocabulary)
+            pairs.append(" ".join(w).encode())
+        own = line_pairs_met([*pairs, b"the " * 300])
+        assert sum(bool(own[i] & own[i + 1]) for i in range(0, 400, 2)) >= 196
+    # the runs of a line that repeats itself are all kept
+    assert len(own[-1]) == 4
