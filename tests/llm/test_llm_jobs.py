@@ -193,6 +193,14 @@ def test_fuzzy_lines(spark):
     assert all(k >= 100 for k in gone) and len(gone) >= 42
 
 
+def test_lines_of_unequal_bytes(spark):
+    """Lengths are compared in code points: 9 of 49 added at three bytes each are within the limit."""
+    a = "five plain words and a few more to follow"[:40]
+    rows = [(1, a), (2, a + "\u6f22\u5b57\u6f22\u5b57\u4eee\u540d\u4eee\u540d\u6587"), (3, "w " * 42 + "xyz"), (4, "w " * 42 + "xyzt")]
+    gone = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="gone").where("gone > 0").collect()}
+    assert gone == {2, 4}
+
+
 def test_secrets(docs, rows, empty):
     got = secrets.scan(docs, None)
     assert got.count() == len(rows) and got.where("spans <> ''").count() == 0
