@@ -201,6 +201,14 @@ def test_lines_of_unequal_bytes(spark):
     assert gone == {2, 4}
 
 
+def test_lines_of_few_words(spark):
+    """Scripts without spaces and short notices are deduplicated like other lines."""
+    a = "\u3053\u306e\u6587\u7ae0\u306f\u7a7a\u767d\u3092\u542b\u307e\u306a\u3044\u3002"
+    rows = [(1, a), (2, f"All rights reserved.\n{a}"), (3, "all rights  reserved.")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: a, 2: "All rights reserved.", 3: ""}
+
+
 def test_secrets(docs, rows, empty):
     got = secrets.scan(docs, None)
     assert got.count() == len(rows) and got.where("spans <> ''").count() == 0
