@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluicebox.llm import components, contamination, exact, html, jaccard, lines, maxent, packing, quality, secrets, suffixes
@@ -215,6 +216,13 @@ def test_secrets(docs, rows, empty):
     assert secrets.fit(docs) is None and secrets.scan(empty, None).count() == 0
 
 
+def test_rare_secrets(spark):
+    """Few findings among many documents still train a network."""
+    text = F.when(F.col("id") % 6000 == 7, F.concat(F.lit("password: "), F.sha1(F.col("id").cast("string")))).when(F.col("id") % 6000 == 8, F.lit("see page/of/the/manual2024edition")).otherwise("plain words")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert secrets.fit(docs) is not None
+
+
 def test_secret_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = {r.doc_id: r for r in secrets.scan(docs, secrets.fit(docs)).collect()}
