@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lines import text_print
 from .pairs import PRODUCT, filter_of, maybe_in, multiply, of_roots, settle, split, tiles
 from .scratch import Scratch
-from .words import batch_words, lowered, mix, shingles
+from .words import batch_words, lowered, mix, shingles, text_print
 
 WIDTH = 5
 #: Columns with more nodes are linked through one node first.

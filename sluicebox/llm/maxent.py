@@ -30,11 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import text_print
 from .pairs import split
 from .quality import held_out
 from .scratch import Scratch
-from .words import batch_words, lowered, mix
+from .words import batch_words, lowered, mix, text_print
 
 #: Most frequent words with an entry of their own in the dictionary that tasks get.
 DICTIONARY = 1 << 17

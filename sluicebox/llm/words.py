@@ -59,6 +59,12 @@ def fingerprints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(found)
 
 
+def text_print(text: str | None) -> int:
+    """A signed 64-bit number for a whole text."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return int(fingerprints(prefix_sums(data), np.array([0]), np.array([len(data)])).view(np.int64)[0])
+
+
 def _pieces(data: bytes):
     """Cuts at white space where possible, so that no array is much longer than PIECE."""
     at = 0
