@@ -37,7 +37,8 @@ def encoder(vocabulary: str):
     """text -> ids of the byte-level BPE in a tokenizers file.
 
     The file's own vocabulary drives tiktoken's merge loop, which gives the same ids several
-    times faster; a probe compares the two before use. Special tokens' strings are plain text.
+    times faster; a probe compares the two before use. Texts that hold the string of an added
+    token go to the tokenizer itself, which gives that token's id.
     """
     import public_tokenizers
     import tiktoken
@@ -45,17 +46,21 @@ def encoder(vocabulary: str):
 
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     # bytes as the printable characters of a byte-level vocabulary
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = set(own.get_added_tokens_decoder())
-    ranks = {bytes(char[c] for c in token): i for token, i in own.get_vocab().items() if i not in special}
+    added = own.get_added_tokens_decoder()
+    ranks = {bytes(char[c] for c in token): i for token, i in own.get_vocab().items() if i not in added}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    probe = "It's  a prübe,\n\n\twith 12345 mixed_TOKENS — <|endoftext|>\r\n   ñandú 東京 \U0001f600!  "
-    if fast.encode_ordinary(probe) != own.encode(probe, add_special_tokens=False).ids:
-        return lambda text: own.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary
+    marks = [t.content for t in added.values() if t.content]
+
+    def exact(text: str) -> list[int]:
+        return own.encode(text, add_special_tokens=False).ids
+
+    probe = "It's  a pr\u00fcbe,\n\n\twith 12345 mixed_TOKENS \u2014 \r\n   \u00f1and\u00fa \u6771\u4eac \U0001f600!  "
+    if fast.encode_ordinary(probe) != exact(probe):
+        return exact
+    return lambda text: exact(text) if any(m in text for m in marks) else fast.encode_ordinary(text)
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
