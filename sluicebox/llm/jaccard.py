@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import fresh, slices
 from .pairs import PRODUCT, filter_of, maybe_in, multiply, of_roots, settle, split, tiles
 from .scratch import Scratch
-from .words import batch_words, lowered, mix, shingles, text_print
+from .words import batch_words, lowered, mix, shingles
 
 WIDTH = 5
 #: Columns with more nodes are linked through one node first.
@@ -40,21 +41,20 @@ LONG = 24
 OFTEN, FREQUENT = 24, 1_000_000
 #: Share of the hash range over which columns are counted: what prefixes draw on.
 _RANGE = int(0.24 * 2**64)
-_CHUNK = 1000
+_CHUNK, _BYTES = 1000, 4 << 20
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, with_texts: bool = False):
-    """Per chunk of documents: ids, sets, and their texts if asked for."""
-    for batch in batches:
-        for part in (batch.slice(i, _CHUNK) for i in range(0, batch.num_rows, _CHUNK)):
-            texts = [lowered(t) for t in part.column(1).to_pylist()]
-            sets: list[np.ndarray] = []
-            for _, _, words, counts in batch_words(texts):
-                at = 0
-                for n in counts:
-                    sets.append(shingles(words[at : at + n], width))
-                    at += n
-            yield (part.column(0), sets, part.column(1)) if with_texts else (part.column(0), sets)
+def _sets(batches: Iterator[pa.RecordBatch], width: int):
+    """Per chunk of documents: the chunk and its sets."""
+    for part in slices(batches, rows=_CHUNK, size=_BYTES):
+        texts = [lowered(t) for t in part.column(1).to_pylist()]
+        sets: list[np.ndarray] = []
+        for _, _, words, counts in batch_words(texts):
+            at = 0
+            for n in counts:
+                sets.append(shingles(words[at : at + n], width))
+                at += n
+        yield part, sets
 
 
 def node_of(s: np.ndarray) -> int:
@@ -77,8 +77,8 @@ def _count_columns(width: int, blocks: int):
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for ids, sets, texts in _sets(batches, width, True):
-            out = [(i, text_print(t.as_py()), node_of(s), len(s), None, None, None) for i, s, t in zip(ids.to_pylist(), sets, texts, strict=True)]
+        for part, sets in _sets(batches, width):
+            out = [(i, mark, node_of(s), len(s), None, None, None) for i, mark, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True)]
             low = [s[: np.searchsorted(s, np.uint64(_RANGE))] for s in sets]
             keys, counts = np.unique(np.concatenate(low) if low else np.empty(0, np.uint64), return_counts=True)
             # blocks of the counted range only
@@ -297,14 +297,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     shingle; null, empty and blank texts have none, link with nothing and are alone. Repeated
     rows are linked like any equal texts. Null ids count as no id in the smallest; a component
     of null ids only has a null component_id. Other columns are not read. ``mark`` is a
-    fingerprint of the text, ``root`` a number of the component (null where there are no words).
+    hash of the text, ``root`` a number of the component (null where there are no words).
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = int(max(64, docs.count() // 4000))
+    # a block for every 13 MB of text, so that blocks have one size whatever the documents' lengths
+    blocks = int(max(64, (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (13 << 20)))
 
-    counted = scratch.keep(source.mapInArrow(_count_columns(width, blocks), "doc_id long, mark long, node long, n long, block int, keys binary, counts binary"), "counted")
+    counted = scratch.keep(source.withColumn("mark", F.xxhash64("text")).mapInArrow(_count_columns(width, blocks), "doc_id long, mark long, node long, n long, block int, keys binary, counts binary"), "counted")
     documents = scratch.keep(counted.where("block is null").select("doc_id", "mark", "node", "n"), "documents")
     often_found = counted.where("block is not null").groupBy("block").applyInPandas(_frequent(often), "key long, df long")
     # at most FREQUENT numbers
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest id (null ids
-    come last; ties go by a fingerprint of the text). Of rows that repeat an id and its text one
+    come last; ties go by a hash of the text). Of rows that repeat an id and its text one
     stays. Rows without words are alone in their components and stay, repeats apart."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.keep(near_duplicates(docs, text, id_column), "found")
@@ -330,15 +331,12 @@ def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     keep = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.mark")
     keep = scratch.keep(keep.unionByName(found.where("root is null").select("doc_id", "mark").distinct()), "keep")
 
-    @F.pandas_udf("long")
-    def mark_of(texts):
-        return pd.Series([text_print(t) for t in texts.tolist()], index=texts.index, dtype="int64")
-
-    marked = docs.withColumn("__mark", mark_of(F.col(text).cast("string")))
-    kept = marked.join(keep.withColumnsRenamed({"doc_id": "__doc", "mark": "__other"}), F.col(id_column).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__other")), "left_semi")
+    mark, doc, other = fresh(docs.columns, "mark", "doc", "other")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    kept = marked.join(keep.withColumnsRenamed({"doc_id": doc, "mark": other}), F.col(id_column).cast("long").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(other)), "left_semi")
     if not found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_column, "__mark"])
-    return kept.drop("__mark")
+        kept = kept.dropDuplicates([id_column, mark])
+    return kept.drop(mark)
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

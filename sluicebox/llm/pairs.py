@@ -23,10 +23,10 @@ PRODUCT = "kind int, a long, b long, size_a long, size_b long, overlap long"
 
 def split(keys: np.ndarray, blocks: int) -> Iterator[tuple[int, slice]]:
     """Slices of a sorted array by block; blocks are equal parts of the hash range."""
-    edges = np.searchsorted(keys, (np.arange(1, blocks) * (2.0**64 / blocks)).astype(np.uint64))
-    edges = np.concatenate([[0], edges, [len(keys)]])
-    for block in np.flatnonzero(np.diff(edges)):
-        yield int(block), slice(int(edges[block]), int(edges[block + 1]))
+    block = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(keys) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(block[a]), slice(int(a), int(b))
 
 
 def multiply(longest: int):
