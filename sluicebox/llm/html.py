@@ -1,11 +1,12 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
-
-Markup that says what it is decides at once: navigation, footers, forms, adverts
-and the like are dropped wherever they stand, and where a page marks its article
-the text is what the article holds. A page that marks none is paired with the
-page of its host whose URL path is nearest in sorted order; the text lines of
-the two are aligned by longest common subsequence and the shared ones, which the
-site's template put there, are deleted.
+"""Main text of web pages by nearest-URL page differencing, with markup beside it.
+
+Every page is paired with the page of its host whose URL path is nearest in sorted
+order; the text lines of the two are aligned by longest common subsequence, and the
+shared ones, which the site's template put there, are deleted. Pages of one site
+may quote each other or hold one article twice, so shared lines that stand inside a
+marked article stay. Template lines that the neighbour happens not to share go by
+markup that says what it is: navigation, footers, forms, adverts and the like; and
+where a page marks its article, lines outside it.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .scratch import Scratch
 
 _TAG = re.compile(
@@ -57,23 +60,29 @@ def _furniture(name: str, rest: str) -> bool:
     return False
 
 
-def lines_of(page: str | None) -> tuple[list[str], bool]:
-    """The text blocks outside furniture, and whether they come from a marked article or main."""
+#: What markup says of a line: furniture or outside the article; in the article; nothing.
+LEFT_OUT, IN_ARTICLE, OPEN = range(3)
+
+
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """All text lines of a page in order, with what markup says of each."""
     page = page or ""
     one_article = len(re.findall(r"<article\b", page, re.I)) == 1
-    blocks: list[tuple[str, bool, bool]] = []
+    # (text, furniture, in an article, in main)
+    blocks: list[tuple[str, bool, bool, bool]] = []
     buffer: list[str] = []
+    hidden: list[str] = []
     # open elements: (name, starts a dropped part, is an article, is a main)
     stack: list[tuple[str, bool, bool, bool]] = []
     dropped = articles = mains = 0
     in_header = in_heading = 0
 
     def settle():
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+        for part, furniture in ((hidden, True), (buffer, False)):
+            text = " ".join(html.unescape("".join(part)).split()) if part else ""
             if text:
-                blocks.append((text, articles > 0, mains > 0))
-            buffer.clear()
+                blocks.append((text, furniture, articles > 0, mains > 0))
+            part.clear()
 
     def pop():
         nonlocal dropped, articles, mains, in_header, in_heading
@@ -89,8 +98,8 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         m = _TAG.search(page, at)
         if not m:
             break
-        if m.start() > at and not dropped and (not in_header or articles and in_heading):
-            buffer.append(page[at : m.start()])
+        if m.start() > at:
+            (buffer if not dropped and (not in_header or articles and in_heading) else hidden).append(page[at : m.start()])
         at, name = m.end(), (m["name"] or "").lower()
         if not name:
             continue
@@ -127,13 +136,13 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         mains += stack[-1][3]
         in_header += name == "header"
         in_heading += name in HEADINGS
-    if at < size and not dropped and not in_header:
-        buffer.append(page[at:])
+    if at < size:
+        (buffer if not dropped and not in_header else hidden).append(page[at:])
     settle()
-    for k in (1, 2):
-        if any(b[k] for b in blocks):
-            return [b[0] for b in blocks if b[k]], True
-    return [b[0] for b in blocks], False
+    for k in (2, 3):
+        if any(b[k] and not b[1] for b in blocks):
+            return [(b[0], IN_ARTICLE if b[k] and not b[1] else LEFT_OUT) for b in blocks]
+    return [(b[0], LEFT_OUT if b[1] else OPEN) for b in blocks]
 
 
 def address(url: str | None) -> tuple[str | None, str]:
@@ -173,39 +182,63 @@ def _print(line: str) -> int:
     return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_PARSED = "page_id long, url string, host string, path string, marked boolean, lines array<string>, prints array<long>"
+_PARSED = "page_id long, url string, host string, path string, lines array<string>, said binary, prints binary"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()))
+    """Lines that markup does not leave out; of all lines what markup says, and a fingerprint."""
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary())
     names = [x.split()[0] for x in _PARSED.split(", ")]
+    for part in slices(batches, 2, 256, 4 << 20):
+        rows = []
+        for page_id, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            lines = lines_of(page)
+            host, path = address(url)
+            rows.append((page_id, url, host, path, [x for x, k in lines if k], bytes(k for _, k in lines), np.array([_print(x) for x, _ in lines], np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def deleted(prints: list[int], said: bytes, other: list[int]) -> tuple[list[int], int]:
+    """Of the lines that markup does not leave out, the places of those that differencing deletes;
+    and how many lines it deletes in all. Lines of a marked article stay."""
+    gone = {i for i in shared(prints, other) if said[i] != IN_ARTICLE}
+    open_ = [i for i, k in enumerate(said) if k]
+    return [j for j, i in enumerate(open_) if i in gone], len(gone)
+
+
+_GONE = "row long, gone array<int>, n_shared long, n_left_out long"
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64())
     for batch in batches:
-        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            rows = []
-            for page_id, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                lines, marked = lines_of(page)
-                host, path = address(url)
-                rows.append((page_id, url, host, path, marked, lines, [_print(x) for x in lines]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows = []
+        for row, prints, said, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, near = (np.frombuffer(x or b"", np.int64).tolist() for x in (prints, other))
+            gone, n = deleted(own, said, near)
+            # what only markup leaves out
+            rows.append((row, gone, n, said.count(LEFT_OUT) - (n - len(gone))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _GONE.split(", ")])
 
 
 def nearest(parsed: DataFrame, scratch: Scratch) -> DataFrame:
-    """``host, path, partner``: a page id of the nearest other path of the host.
+    """``host, path, partner``: a row of the nearest other path of the host.
 
     Paths are sorted once, over all hosts, so a large host spreads over many partitions; ranks
     across partitions come from one count per partition.
     """
-    paths = parsed.where("host is not null").groupBy("host", "path").agg(F.min("page_id").alias("page_id"))
+    paths = parsed.where("host is not null").groupBy("host", "path").agg(F.min("row").alias("row"))
     ordered = scratch.keep(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("at", F.monotonically_increasing_id()), "paths")
     part = F.shiftright("at", 33)
     # one row per partition of the sort
     sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    ranked = ordered.withColumn("part", part).join(F.broadcast(before), "part").select("host", "path", "page_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    ranked = ordered.withColumn("part", part).join(F.broadcast(before), "part").select("host", "path", "row", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     ranked = scratch.keep(ranked, "ranked")
 
     def beside(step: int, name: str):
-        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.struct(F.col("path"), F.col("page_id")).alias(name))
+        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.struct(F.col("path"), F.col("row")).alias(name))
 
     near = ranked.join(beside(1, "back"), "rank", "left").join(beside(-1, "ahead"), "rank", "left")
 
@@ -216,32 +249,28 @@ def nearest(parsed: DataFrame, scratch: Scratch) -> DataFrame:
         equal = F.when(F.col("path").startswith(other) | other.startswith(F.col("path")), F.least(F.length("path"), F.length(other)))
         return F.when(F.col(f"{name}_host") == F.col("host"), F.coalesce(equal.cast("long"), length.cast("long"))).otherwise(F.lit(-1).cast("long"))
 
-    return near.select("host", "path", F.when((common("back") < 0) & (common("ahead") < 0), None).when(common("back") >= common("ahead"), F.col("back.page_id")).otherwise(F.col("ahead.page_id")).alias("partner"))
+    return near.select("host", "path", F.when((common("back") < 0) & (common("ahead") < 0), None).when(common("back") >= common("ahead"), F.col("back.row")).otherwise(F.col("ahead.row")).alias("partner"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars``, one row per row of ``pages``.
+    """``page_id, url, text, n_chars, n_shared, n_left_out``, one row per row of ``pages``.
 
-    Null and empty pages give empty text. Pages without a readable host, or alone on their
-    host, have no partner and keep all their lines. Pages that share a URL path are never
+    ``n_shared`` counts the lines that differencing deletes, ``n_left_out`` those that only
+    markup does. Null and empty pages give empty text. Pages without a readable host, or alone on
+    their host, have no partner; markup alone cleans them. Pages that share a URL path are never
     partners: they may be one article. Repeated rows give repeated results; null page ids and
-    further columns are allowed (null ids only never serve as partner).
+    further columns are allowed.
     """
     scratch = Scratch(pages.sparkSession, "pages")
-    parsed = scratch.keep(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, _PARSED), "parsed")
-    sure = parsed.where("marked").select("page_id", "url", "lines")
-    unsure = parsed.where("not marked")
-    if not unsure.isEmpty():
-        prints = parsed.where("page_id is not null").groupBy(F.col("page_id").alias("partner")).agg(F.first("prints").alias("other"))
-        paired = unsure.join(nearest(parsed, scratch), ["host", "path"], "left").join(prints, "partner", "left")
-
-        @F.udf("array<string>")
-        def own(lines, mine, other):
-            gone = shared(mine, other or [])
-            return [x for i, x in enumerate(lines) if i not in gone]
-
-        sure = sure.unionByName(paired.select("page_id", "url", own("lines", "prints", "other").alias("lines")))
-    return sure.select("page_id", "url", F.array_join("lines", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, _PARSED)
+    parsed = scratch.keep(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
+    prints = parsed.select("row", "prints")
+    paired = parsed.select("row", "host", "path", "prints", "said").join(nearest(parsed, scratch), ["host", "path"], "left")
+    paired = paired.join(prints.select(F.col("row").alias("partner"), F.col("prints").alias("other")), "partner", "left")
+    gone = scratch.keep(paired.select("row", "prints", "said", "other").mapInArrow(_difference, _GONE), "gone")
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    out = parsed.select("row", "page_id", "url", "lines").join(gone, "row").withColumn("text", F.array_join(kept, "\n"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_left_out")
 
 
 def op10_page_differencing(spark, sf_dir: str) -> DataFrame:

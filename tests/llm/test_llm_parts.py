@@ -195,7 +195,23 @@ def test_runs():
     ],
 )
 def test_main_text(page, text):
-    assert "\n".join(html.lines_of(page)[0]) == text
+    assert "\n".join(x for x, said in html.lines_of(page) if said) == text
+
+
+def test_alignment_is_longest():
+    draw = random.Random(8)
+    for _ in range(300):
+        a, b = ([draw.randrange(5) for _ in range(draw.randrange(12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = html.shared(a, b)
+        assert len(found) == table[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(found))
+    said = bytes([html.LEFT_OUT, html.OPEN, html.IN_ARTICLE, html.OPEN])
+    assert html.deleted([1, 2, 3, 4], said, [1, 2, 3]) == ([0], 2)
 
 
 def test_alignment_and_addresses():
