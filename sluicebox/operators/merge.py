@@ -25,15 +25,14 @@ ORDER = ("delete", "update", "insert")
 class MergeConfig:
     """``match``: key columns, or expressions by name. ``identity``: the id column. ``position``:
     what makes a later source record win. ``strategy``: insert+delete, insert+update+delete or
-    upsert+delete. ``insert_as``/``delete_as`` label the report only: Spark has one way."""
+    upsert+delete. A merge writes one new version, so operations have no order or way of their
+    own; ``order`` is that of the report."""
 
     match: list[str] | dict[str, Column]
     identity: str = "id"
     position: str | None = None
     strategy: str = "insert+delete"
     order: tuple[str, ...] = ORDER
-    insert_as: str = "batch"
-    delete_as: str = "batch"
     preset: bool = True
 
     def __post_init__(self):
@@ -69,50 +68,55 @@ def _key(config: MergeConfig) -> Column:
     return F.struct(*[c.alias(n) for n, c in parts])
 
 
-def _fields(df: DataFrame) -> list[str]:
-    return df.schema["__key"].dataType.names
-
-
-def _same(a: str, b: str, names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & F.col(f"{a}.__key.{n}").eqNullSafe(F.col(f"{b}.__key.{n}"))
-    return out
+def _others(rows: DataFrame, chosen: DataFrame, by: str, row: str) -> DataFrame:
+    """Rows of keys that hold several, without the chosen one (a column ``first``). Equal rows are
+    counted, so each copy beyond the chosen one comes out."""
+    same = F.col(f"r.{by}").eqNullSafe(F.col(f"c.{by}"))
+    found = rows.alias("r").join(chosen.alias("c"), same).groupBy(F.col(f"r.{by}").alias(by), F.col(f"r.{row}").alias(row), F.col("c.first").alias("first")).agg(F.count("*").alias("n"))
+    left = F.col("n") - F.when(F.col(row).eqNullSafe(F.col("first")), 1).otherwise(0)
+    return found.select(by, F.explode(F.array_repeat(row, left.cast("int"))).alias(row))
 
 
 def classify(source: DataFrame, target: DataFrame, config: MergeConfig) -> DataFrame:
     """``action, src, dst``: every record of either side once.
 
     Of source records of one key the last by position counts. Of target rows of one key the one
-    with the smallest identity is the match, the rest are deletions. Under insert+update+delete
-    and upsert+delete, leftovers that share an identity are updates; of several such source
-    records the last counts and the others are insertions.
+    with the smallest identity is the match, the rest are deletions, equal copies included. Under
+    insert+update+delete and upsert+delete, leftovers that share an identity are updates; of
+    several such source records the last counts and the others are insertions.
+
+    Both sides go through one aggregation by the key, leftovers through one by the identity; only
+    rows of keys that the target holds several times are read again.
     """
     ident = config.identity
     at = F.col(config.position) if config.position else F.xxhash64(*source.columns)
-    src = source.withColumn("__key", _key(config))
-    src = src.groupBy("__key").agg(F.max_by(F.struct(*source.columns), F.struct(at, F.xxhash64(*source.columns))).alias("src"))
-    dst = target.withColumn("__key", _key(config)).select("__key", F.struct(*target.columns).alias("dst"))
-    # the first row of each target key, by aggregation: no window holds a key's rows together
-    first = dst.groupBy("__key").agg(F.min(F.struct(F.col(f"dst.{ident}"), F.xxhash64("dst"))).alias("first"))
-    dst = dst.alias("d").join(first.alias("f"), _same("d", "f", _fields(dst))).select("d.__key", "dst", (F.struct(F.col(f"dst.{ident}"), F.xxhash64("dst")) == F.col("first")).alias("is_first"))
-    both = src.alias("s").join(dst.where("is_first").alias("d"), _same("s", "d", _fields(src)), "full_outer").select("src", "dst")
-    both = both.unionByName(dst.where("not is_first").select(F.lit(None).cast(src.schema["src"].dataType).alias("src"), "dst"))
+    given = source.select(_key(config).alias("key"), F.struct(*source.columns).alias("src"), F.struct(at, F.xxhash64(*source.columns)).alias("place"))
+    held = target.select(_key(config).alias("key"), F.struct(*target.columns).alias("dst"))
+    kind_src, kind_dst = given.schema["src"].dataType, held.schema["dst"].dataType
+    both = given.unionByName(held, allowMissingColumns=True)
+    first = F.min_by("dst", F.when(F.col("dst").isNotNull(), F.struct(F.col(f"dst.{ident}"), F.xxhash64("dst"))))
+    by_key = both.groupBy("key").agg(F.max_by("src", "place").alias("src"), first.alias("dst"), F.count("dst").alias("n"))
     action = F.when(F.col("src").isNull(), "delete").when(F.col("dst").isNull(), "insert").otherwise("keep")
-    found = both.withColumn("action", action)
+    several = _others(held, by_key.where("n > 1").select("key", F.col("dst").alias("first")), "key", "dst")
+    found = by_key.select(action.alias("action"), "src", "dst").unionByName(several.select(F.lit("delete").alias("action"), F.lit(None).cast(kind_src).alias("src"), "dst"))
     if config.strategy == "insert+delete":
-        return found.select("action", "src", "dst")
-    new = found.where((F.col("action") == "insert") & ~is_zero(F.col(f"src.{ident}"), source.schema[ident].dataType))
-    gone = found.where("action = 'delete'")
+        return found
+    id_type = source.schema[ident].dataType
+    paired = F.when(F.col("action") == "insert", ~is_zero(F.col(f"src.{ident}"), id_type)).otherwise(F.col("action") == "delete")
+    left = found.where(paired).select(F.coalesce(F.col(f"src.{ident}"), F.col(f"dst.{ident}")).alias("id"), "src", "dst")
     place = F.struct(F.col(f"src.{config.position}") if config.position else F.xxhash64("src"), F.xxhash64("src"))
-    new = new.groupBy(F.col(f"src.{ident}").alias("__id")).agg(F.max_by("src", place).alias("src"))
-    old = gone.groupBy(F.col(f"dst.{ident}").alias("__id")).agg(F.min_by("dst", F.xxhash64("dst")).alias("dst"))
-    pairs = new.join(old, "__id").select(F.lit("update").alias("action"), "src", "dst")
-    s_ids, d_ids = pairs.select(F.xxhash64("src").alias("__h"), F.col(f"src.{ident}").alias("__id")), pairs.select(F.xxhash64("dst").alias("__h"), F.col(f"dst.{ident}").alias("__id"))
-    ins = found.where("action = 'insert'").withColumns({"__h": F.xxhash64("src"), "__id": F.col(f"src.{ident}")}).join(s_ids, ["__h", "__id"], "left_anti")
-    dels = gone.withColumns({"__h": F.xxhash64("dst"), "__id": F.col(f"dst.{ident}")}).join(d_ids, ["__h", "__id"], "left_anti")
-    columns = ["action", "src", "dst"]
-    return found.where("action = 'keep'").select(*columns).unionByName(pairs).unionByName(ins.select(*columns)).unionByName(dels.select(*columns))
+    by_id = left.groupBy("id").agg(
+        F.max_by("src", F.when(F.col("src").isNotNull(), place)).alias("src"), F.min_by("dst", F.when(F.col("dst").isNotNull(), F.xxhash64("dst"))).alias("dst"), F.count("src").alias("n_src"), F.count("dst").alias("n_dst")
+    )
+    settled = F.when(F.col("src").isNull(), "delete").when(F.col("dst").isNull(), "insert").otherwise("update")
+    more_src = _others(left.where("src is not null").select("id", "src"), by_id.where("n_src > 1").select("id", F.col("src").alias("first")), "id", "src")
+    more_dst = _others(left.where("dst is not null").select("id", "dst"), by_id.where("n_dst > 1").select("id", F.col("dst").alias("first")), "id", "dst")
+    return (
+        found.where(~paired)
+        .unionByName(by_id.select(settled.alias("action"), "src", "dst"))
+        .unionByName(more_src.select(F.lit("insert").alias("action"), "src", F.lit(None).cast(kind_dst).alias("dst")))
+        .unionByName(more_dst.select(F.lit("delete").alias("action"), F.lit(None).cast(kind_src).alias("src"), "dst"))
+    )
 
 
 def merged(classified: DataFrame, columns: list[str], config: MergeConfig) -> DataFrame:
