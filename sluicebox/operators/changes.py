@@ -37,14 +37,16 @@ def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.when(is_zero(F.col(c), df.schema[c].dataType), F.expr(e).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, e in defaults.items() if c in df.columns})
 
 
-def updated(old: DataFrame, changes: DataFrame, keys: list[str], present: str | None = None) -> DataFrame:
+def updated(old: DataFrame, changes: DataFrame, keys: list[str], present: str | None = None, position: str | Column | None = None) -> DataFrame:
     """Old rows with the values of the records that share their key.
 
     ``present`` names a struct of booleans: only columns that it flags change, and a record that
-    flags none changes nothing. Each key may occur once in the changes.
+    flags none changes nothing. Of several changes of one key the last by ``position`` counts;
+    without it, one that the values choose, the same in every run.
     """
     if not keys:
         raise MissingIdentity("no identity columns")
+    changes = last_by_key(changes, keys, position if position is not None else F.xxhash64(*keys))
     columns = [c for c in old.columns if c not in keys and c in changes.columns]
     flags = set(changes.schema[present].dataType.names) if present else set()
     change = changes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c).alias(f"__new_{c}") for c in columns], *([F.col(present).alias("__has")] if present else []), F.lit(True).alias("__hit"))
@@ -112,8 +114,11 @@ class Writer:
             rows = rows.transform(hook)
         return with_defaults(rows, self.defaults | {c.column: c.default for c in self.spec if c.default})
 
-    def insert(self, rows: DataFrame, on_duplicate: str = "error") -> Written:
-        """``on_duplicate``: error, update (an upsert) or ignore (no check)."""
+    def insert(self, rows: DataFrame, on_duplicate: str = "error", once: str | None = None) -> Written:
+        """``on_duplicate``: error, update (an upsert) or ignore (no check). ``once`` names the
+        insert: repeated under its name, it does nothing."""
+        if once is not None and self.table.landed(once):
+            return Written(0)
         rows, auto = self._prepared(rows), self._auto
         if auto:
             rows = preset(rows, auto, self.preset_id, self.registry, self.spec.name, lambda: max_id(self.table.read(), auto))
@@ -129,12 +134,19 @@ class Writer:
             self.table.change(lambda old: upserted(old, rows, keys))
         elif n:
             options = rows.select(*self.table.read().columns)
-            self.table.append(options.repartition(-(-n // self.batch)) if self.batch and n > self.batch else options)
+            options = options.repartition(-(-n // self.batch)) if self.batch and n > self.batch else options
+            if once is None:
+                self.table.append(options)
+            else:
+                self.table.append_once(options, once)
         return Written(n, last, rows)
 
     def update(self, rows: DataFrame, present: str | None = None) -> Written:
         keys = self._keys(rows)
         rows = self._prepared(rows) if not present else flagged(rows, present, keys)
+        again = rows.groupBy(*keys).count().where("count > 1").head(1)
+        if again:
+            raise DuplicateKey(f"{self.spec.name}: {again[0].asDict()}")
         affected = self.table.read().join(rows.select(*keys).distinct(), keys, "left_semi").count()
         if affected:
             self.table.change(lambda old: updated(old, rows, keys, present))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_zero
+from ..shared import settled
 
 
 @dataclass
@@ -66,11 +67,12 @@ def numbered(df: DataFrame, column: str, order: list[str] | None = None) -> Data
 
     Not by one global window: rows are range-sorted in partitions, partitions are counted (one
     row each to the driver) and a number is the count of earlier partitions plus the place in
-    the own one. The rows are cached in between, so both passes see the same partitions.
+    the own one. The sorted rows are written in between, so that both passes, and a third after a
+    lost executor, see the same partitions.
     """
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = df.withColumn("__at", F.monotonically_increasing_id()).persist()
+    placed = settled(df.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = [], 0

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import ConstraintViolation
 from ..functions.scalar import message
@@ -59,13 +58,16 @@ def _given(df: DataFrame, c: ColumnSpec, present: str | None) -> DataFrame:
 
 def unique_violations(df: DataFrame, rows: DataFrame, value: str, identity: list[str], within: str | None = None) -> DataFrame:
     """Records whose value a row with another identity has, in the same scope."""
-    other = rows.select(F.col(value).alias("__v"), *[F.col(i).alias(f"__i_{i}") for i in identity], *([F.col(within).alias("__w")] if within else []))
-    different = F.lit(False) if identity else F.lit(True)
-    for i in identity:
-        different = different | ~F.col(i).eqNullSafe(F.col(f"__i_{i}"))
-    condition = (F.col(value) == F.col("__v")) & different
+    # of a value's rows the least and the greatest identity tell: one of them differs from any that
+    # is not alone. So copies of a value are reduced to one row before they are shuffled.
+    key = F.struct(*identity) if identity else F.lit(1)
+    by = [F.col(value).alias("__v"), *([F.col(within).alias("__w")] if within else [])]
+    other = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
+    condition = F.col(value) == F.col("__v")
     if within:
         condition = condition & (F.col(within) == F.col("__w"))
+    if identity:
+        condition = condition & (~key.eqNullSafe(F.col("__least")) | ~key.eqNullSafe(F.col("__most")))
     return df.where(F.col(value).isNotNull()).join(other, condition, "left_semi")
 
 
@@ -111,8 +113,3 @@ def validate(df: DataFrame, spec: TableSpec, tables: dict[str, DataFrame], optio
     for f in found:
         out = out.unionByName(f)
     return Validation(out.distinct(), spec)
-
-
-def value_condition(c: Column, kind: T.DataType) -> Column:
-    """Whether a value counts as given: neither null nor an empty text."""
-    return c.isNotNull() & (c != "") if isinstance(kind, T.StringType) else c.isNotNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,13 +28,17 @@ def batched_insert(stream: DataFrame, writer: Writer, checkpoint: str, config: B
     ``await`` the query or process all that is there (``once``) to know that records landed.
     """
     config = config or BatchConfig()
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     if config.batch:
         writer.batch = config.batch
 
     def land(rows: DataFrame, batch: int) -> None:
-        written = writer.insert(rows)
+        # a batch that is replayed after a failure has the same number and lands once
+        written = writer.insert(rows, once=f"{name}-{batch}")
         if done:
             done(batch, written.affected)
+        if written.records is not None:
+            written.records.unpersist()
 
     out = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if config.once else out.trigger(processingTime=config.max_age)).start()
