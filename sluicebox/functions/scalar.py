@@ -69,9 +69,15 @@ def float_text(c: Column, precision: int | None = None) -> Column:
     if precision is not None:
         return F.format_string(f"%.{precision}f", c.cast("double"))
     text = c.cast("string")
-    # the shortest text may carry an exponent: decimal arithmetic writes it out
-    plain = F.when(text.contains("E"), F.regexp_replace(c.cast(T.DecimalType(38, 10)).cast("string"), r"(\.\d*?)0+$", "$1")).otherwise(text)
-    return F.regexp_replace(plain, r"\.0*$", "")
+    whole = F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text)
+    # the shortest text may carry an exponent: the point is moved in the text, so no digit is lost
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]", "")
+    digits = F.regexp_replace(digits, r"(?<=.)0+$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(F.rpad(digits.substr(F.lit(1), power + 1), power + 1, "0"), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), digits.substr(power + 2, F.length(digits)))).otherwise(""))
+    return F.when(text.contains("E"), F.concat(sign, F.when(power < 0, small).otherwise(large))).otherwise(whole)
 
 
 def to_text(c: Column, kind: T.DataType, precision: int | None = None, layout: str | None = None) -> Column:

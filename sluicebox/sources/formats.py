@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,15 +61,53 @@ def write_text(df: DataFrame, path: str, fmt: TextFormat | None = None, columns:
     text_lines(df, fmt, columns).write.mode(mode).option("lineSep", fmt.record).text(path)
 
 
+def _records(spark: SparkSession, path: str, fmt: TextFormat) -> DataFrame:
+    """``cells, first``: the fields of each record as they stand, and whether it begins a file.
+
+    Separators within quotes, or that the escape precedes, belong to a value, so records are found
+    in whole files; a file is as large as the partition that wrote it.
+    """
+    e, f, r, q = (re.escape(x) for x in (fmt.escape, fmt.field, fmt.record, fmt.quote))
+
+    def until(end: str) -> str:
+        quoted = f"{q}(?:[^{e}{q}]++|{e}[\\s\\S])*+{q}|{q}|" if q else ""
+        return f"((?:{quoted}[^{e}{q}{end}]++|{e}[\\s\\S])*+){end}"
+
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    end = F.when(F.col("text").endswith(fmt.record) | (F.col("text") == ""), F.col("text")).otherwise(F.concat("text", F.lit(fmt.record)))
+    rows = text.select(F.posexplode(F.regexp_extract_all(end, F.lit(until(r)), F.lit(1))).alias("at", "record"))
+    cells = F.regexp_extract_all(F.concat("record", F.lit(fmt.field)), F.lit(until(f)), F.lit(1))
+    return rows.select(cells.alias("cells"), (F.col("at") == 0).alias("first"))
+
+
+def _plain(cell: Column, fmt: TextFormat) -> Column:
+    """A cell without quotes and escapes; the text of null is null."""
+    n = len(fmt.quote)
+    quoted = cell.startswith(fmt.quote) & cell.endswith(fmt.quote) & (F.length(cell) >= 2 * n) if n else F.lit(False)
+    inner = F.when(quoted, F.substring(cell, n + 1, F.length(cell) - 2 * n)).otherwise(cell)
+    return F.when(cell == fmt.null, None).otherwise(F.regexp_replace(inner, re.escape(fmt.escape) + r"([\s\S])", "$1"))
+
+
+def _own_dialect(fmt: TextFormat) -> bool:
+    return len(fmt.field) == len(fmt.record) == len(fmt.escape) == 1 and fmt.escape != fmt.quote
+
+
 def read_text(spark: SparkSession, path: str, schema: T.StructType, fmt: TextFormat | None = None, header: bool = True, layout: str | None = None) -> DataFrame:
     """Separated text by the names of its header, with the conversions of ``to_value``.
 
-    A header name without a field is an error. The text of null is null.
+    Reads what ``write_text`` writes, escaped separators and line breaks included. A header name
+    without a field is an error. The text of null is null. Where the escape is the quote itself,
+    as in common CSV, Spark's CSV reader is used.
     """
     fmt = fmt or TextFormat()
-    raw = spark.read.options(header=header, sep=fmt.field, quote=fmt.quote, escape=fmt.escape, nullValue=fmt.null, multiLine=False).csv(path, inferSchema=False)
-    if not header:
-        raw = raw.toDF(*schema.names)
+    if _own_dialect(fmt):
+        names = headers(spark, path, fmt) if header else schema.names
+        rows = _records(spark, path, fmt)
+        rows = rows.where("not first") if header else rows
+        raw = rows.select(*[_plain(F.get("cells", F.lit(i)), fmt).alias(n) for i, n in enumerate(names)])
+    else:
+        raw = spark.read.options(header=header, sep=fmt.field, quote=fmt.quote, escape=fmt.escape, nullValue=fmt.null, multiLine=True).csv(path, inferSchema=False)
+        raw = raw if header else raw.toDF(*schema.names)
     by_name = {n.lower(): n for n in raw.columns}
     unknown = [n for n in raw.columns if n.lower() not in {f.name.lower() for f in schema}]
     if unknown:
@@ -78,7 +117,10 @@ def read_text(spark: SparkSession, path: str, schema: T.StructType, fmt: TextFor
 
 def headers(spark: SparkSession, path: str, fmt: TextFormat | None = None) -> list[str]:
     fmt = fmt or TextFormat()
-    return spark.read.options(header=True, sep=fmt.field, quote=fmt.quote, escape=fmt.escape).csv(path).columns
+    if not _own_dialect(fmt):
+        return spark.read.options(header=True, sep=fmt.field, quote=fmt.quote, escape=fmt.escape).csv(path).columns
+    first = _records(spark, path, fmt).where("first").select(F.transform("cells", lambda c: _plain(c, fmt)).alias("names")).first()
+    return list(first.names) if first else []
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -167,8 +209,9 @@ def load(df: DataFrame, target: str, product: str = "parquet", columns: list[str
     if columns is not None:
         own = {c.lower(): c for c in df.columns}
         df = df.select(*[own[c.lower()] for c in columns if c.lower() in own])
-    df = df.persist()
-    n = df.count()
+    # counted while it is written
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("n"))
     options = options or {}
     if product == "jdbc":
         df.write.format("jdbc").options(dbtable=target, **({"batchsize": "1000"} | options)).mode(mode).save()
@@ -180,5 +223,4 @@ def load(df: DataFrame, target: str, product: str = "parquet", columns: list[str
         df.write.mode(mode).options(**({"compression": "zstd"} | options)).parquet(target)
     else:
         raise ValueError(f"no loader for {product!r}")
-    df.unpersist()
-    return n
+    return seen.get["n"]

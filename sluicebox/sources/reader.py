@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import normal_key
 from ..spec import TableSpec, project
 
 # fixed values: products whose placeholders have numbers, and their prefixes
@@ -97,8 +96,13 @@ def among(df: DataFrame, columns: list[str], keys: list[Any] | DataFrame) -> Dat
         schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
         return among(df, columns, df.sparkSession.createDataFrame(rows, schema))
     if len(columns) == 1:
-        c = F.col(columns[0])
-        return df.where(normal_key(c, df.schema[columns[0]].dataType).isin([r[0] for r in rows]) if not isinstance(rows[0][0], str) and isinstance(df.schema[columns[0]].dataType, T.NumericType) else c.isin([r[0] for r in rows]))
+        kind = df.schema[columns[0]].dataType
+        values = [r[0] for r in rows]
+        if isinstance(kind, T.IntegralType):  # a fraction equals no integer, and a plain literal reaches the scan
+            values = [int(v) if isinstance(v, (int, float)) else v for v in values if not isinstance(v, float) or v.is_integer()]
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            values = [float(v) if isinstance(v, (int, float)) else v for v in values]
+        return df.where(F.col(columns[0]).isin(values) if values else F.lit(False))
     return df.where(F.struct(*columns).isin([F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]))
 
 
