@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import scalar
 from .operators import changes, merge, sequences, validate
 from .operators.cache import QueryCache, fingerprint, index_by
+from .operators.tables import Table
+from .shared import shared_folder
 from .sources import formats
 from .sources.reader import Page, Query, Reader, among, equal_to, paged
 from .spec import ColumnSpec, TableSpec, flatten, nest, project
@@ -30,7 +34,9 @@ def scan_param(spark, sf_dir):
 
 
 def scan_single(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(1)
+    orders = _view(spark, sf_dir, "orders")
+    reader = Reader(spark, f"select o_orderkey, o_custkey from {orders} order by o_orderkey")
+    return spark.createDataFrame([reader.first()], reader.columns())
 
 
 def project_renamed(spark, sf_dir):
@@ -116,7 +122,7 @@ def index_group(spark, sf_dir):
 
 
 def max_seed(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("max_id"))
+    return spark.createDataFrame([(sequences.max_id(table(spark, sf_dir, "orders"), "o_orderkey"),)], "max_id long")
 
 
 def partial_final_count(spark, sf_dir):
@@ -144,9 +150,9 @@ def top_k(spark, sf_dir):
 
 def set_algebra(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).distinct()
-    big = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k"), F.lit(True).alias("has")).distinct()
-    side = F.when(F.col("has"), "both").otherwise("left").alias("side")
-    return customers.join(big, "k", "left").groupBy(side).agg(F.count("*").alias("n"))
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k")).distinct()
+    found = merge.classify(customers, big, merge.MergeConfig(["k"], "k")).where("action <> 'delete'")
+    return found.groupBy(F.when(F.col("action") == "keep", "both").otherwise("left").alias("side")).agg(F.count("*").alias("n"))
 
 
 def default_fill(spark, sf_dir):
@@ -202,7 +208,8 @@ def convert_text(spark, sf_dir):
 
 
 def time_format(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", scalar.layout_pattern("2006-01-02T15:04:05") + "'Z'").alias("t"))
+    at = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.to_text(at, T.TimestampType(), layout="2006-01-02T15:04:05Z07:00").alias("t"))
 
 
 def float_format(spark, sf_dir):
@@ -234,9 +241,7 @@ def validation_report(spark, sf_dir):
 
 def cached_read(spark, sf_dir):
     """A query through a result cache, read twice; the second read comes from the entry."""
-    from tempfile import mkdtemp
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="spark-cache-")).rstrip("/")
+    folder = shared_folder(spark)
     orders = _view(spark, sf_dir, "orders")
     query = Query(f"select o_orderkey, o_custkey, o_totalprice from {orders} where o_totalprice > ?", [300000])
     cache = QueryCache(spark, f"{folder}/query-cache-{fingerprint(sf_dir)}", signature=sf_dir)
@@ -252,9 +257,10 @@ def residual_columns(spark, sf_dir):
 
 
 def row_map(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    pairs: list[Column] = [x for c in nation.columns for x in (F.lit(c), F.col(c).cast("string"))]
-    return nation.select("n_nationkey", F.create_map(*pairs).alias("m")).select("n_nationkey", F.col("m")["n_name"].alias("name"), F.col("m")["n_regionkey"].alias("region"))
+    nation = Reader(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    kind = nation.columns()["n_nationkey"].dataType
+    rows = [(m["n_nationkey"], m["n_name"], str(m["n_regionkey"])) for m in nation.maps()]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("n_nationkey", kind), T.StructField("name", T.StringType()), T.StructField("region", T.StringType())]))
 
 
 def window_running(spark, sf_dir):
@@ -267,7 +273,86 @@ def grouping_rollup(spark, sf_dir):
     return spark.sql(f"select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by rollup (o_orderstatus, o_orderpriority)")
 
 
-_NAMES = "scan_param scan_single project_renamed ns_struct_flatten criteria_eq in_tuple in_list fk_anti unique_semi merge_classify merge_ins_del merge_ins_upd_del merge_result dedup_last index_group max_seed partial_final_count per_key_page per_key_page_keys sequence_assign top_k set_algebra default_fill update_selective delete_by_key upsert_rows csv_line csv_flatten json_encode json_extract convert_text time_format float_format distinct_list batch_number listagg_index validation_report cached_read residual_columns row_map window_running grouping_rollup"
+def json_records(spark, sf_dir):
+    """Records as lines of JSON, nulls included."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).alias("st"))
+    return formats.json_lines(orders)
+
+
+def merge_actions(spark, sf_dir):
+    """Every record that a merge with updates touches; the target holds some rows several times."""
+    source, target = _merge_sides(spark, sf_dir)
+    twice = target.where("id % 13 = 0")
+    found = merge.classify(source, target.unionByName(twice).unionByName(twice), merge.MergeConfig(["id", "st"], "id", strategy="insert+update+delete"))
+    return found.select("action", F.col("src.id").alias("id"), F.col("src.st").alias("st"), F.col("dst.id").alias("old_id"), F.col("dst.st").alias("old_st"))
+
+
+def float_extremes(spark, sf_dir):
+    """Large and small numbers as text without exponent."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return lines.select("l_orderkey", "l_linenumber", scalar.float_text(F.col("l_quantity") * F.lit(1e20)).alias("large"), scalar.float_text(F.col("l_quantity") / F.lit(1e9)).alias("small"))
+
+
+def in_fractions(spark, sf_dir):
+    return among(table(spark, sf_dir, "lineitem"), ["l_discount"], [0.01, 0.05, 1]).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+def warm_page(spark, sf_dir):
+    """Pages of some keys, answered from a warm superset."""
+    orders = _view(spark, sf_dir, "orders")
+    query = Query(f"select o_orderpriority, o_orderkey from {orders}")
+    cache = QueryCache(spark, f"{shared_folder(spark)}/query-cache-{fingerprint(sf_dir)}-warm", signature=sf_dir)
+    cache.warm(query, "o_orderpriority")
+    found = Reader(spark, query, cache=cache).rows(page=Page("o_orderpriority", keys=["1-URGENT", "2-HIGH"], offset=1, limit=3, order=["o_orderkey"]))
+    if cache.stats.kind != "warm":
+        raise RuntimeError(f"the cache answered {cache.stats.kind}")
+    return found
+
+
+def writer_changes(spark, sf_dir):
+    """A table after inserts, one of them repeated under its name, selective updates and deletes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("st"))
+    spec = TableSpec("orders", (ColumnSpec("id", "bigint", primary_key=True), ColumnSpec("customer", "bigint"), ColumnSpec("st", "string")))
+    held = Table(spark, f"{shared_folder(spark)}/writer-{uuid.uuid4().hex}", orders.schema)
+    writer = changes.Writer(held, spec)
+    for _ in range(2):
+        writer.insert(orders.where("id % 2 = 0"), once="even")
+    writer.insert(orders.where("id % 2 = 1"), once="odd")
+    writer.update(orders.where("id % 3 = 0").select("id", F.lit(-1).cast("bigint").alias("customer"), F.lit("U").alias("st"), F.struct(F.lit(False).alias("customer"), F.lit(True).alias("st")).alias("has")), "has")
+    writer.delete(orders.where("id % 5 = 0").select("id"))
+    return held.read()
+
+
+def text_round_trip(spark, sf_dir):
+    """Events written as separated text, with separators and line breaks in values, and read again."""
+    events = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(',"\n\\'), "props").alias("said"))
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    formats.write_text(events, path)
+    return formats.read_text(spark, path, events.schema, header=False)
+
+
+def union_records(spark, sf_dir):
+    """The distinct union of what two record sources name, in one shape."""
+    spec = TableSpec("party", (ColumnSpec("nation", "int", ("c_nationkey", "s_nationkey")),))
+    parts = [project(table(spark, sf_dir, name).select(f"{name[0]}_nationkey"), spec) for name in ("customer", "supplier")]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def union_all_counts(spark, sf_dir):
+    customer, supplier = _view(spark, sf_dir, "customer"), _view(spark, sf_dir, "supplier")
+    return spark.sql(f"select nation, count(*) as n from (select c_nationkey as nation from {customer} union all select s_nationkey from {supplier}) group by nation")
+
+
+def validation_unique(spark, sf_dir):
+    """Uniqueness within a scope, required values and presence flags in one validation."""
+    spec = TableSpec("customer", (ColumnSpec("c_custkey", "bigint", primary_key=True), ColumnSpec("c_mktsegment", "string", unique=True, unique_within="c_nationkey"), ColumnSpec("name", "string", required=True)))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.lit("x")).alias("name"))
+    given = customer.withColumn("has", F.struct((F.col("c_custkey") % 2 == 0).alias("c_mktsegment")))
+    found = validate.validate(given, spec, {"customer": customer}, validate.Options(location="c", present="has"))
+    return found.violations.select(F.col("Location").alias("location"), F.col("Check").alias("kind"))
+
+
+_NAMES = "json_records merge_actions float_extremes in_fractions warm_page writer_changes text_round_trip union_records union_all_counts validation_unique scan_param scan_single project_renamed ns_struct_flatten criteria_eq in_tuple in_list fk_anti unique_semi merge_classify merge_ins_del merge_ins_upd_del merge_result dedup_last index_group max_seed partial_final_count per_key_page per_key_page_keys sequence_assign top_k set_algebra default_fill update_selective delete_by_key upsert_rows csv_line csv_flatten json_encode json_extract convert_text time_format float_format distinct_list batch_number listagg_index validation_report cached_read residual_columns row_map window_running grouping_rollup"
 
 
 def queries() -> dict:
@@ -279,6 +364,16 @@ _SIDES = """s as (select o_orderkey + case when o_orderkey % 5 = 0 then 1000000
 _LEFT = """os as (select * from s where not exists (select 1 from d where d.id = s.id and d.st = s.st)), od as (select * from d where not exists (select 1 from s where d.id = s.id and d.st = s.st))"""
 
 ORACLE = {
+    "json_records": "select '{\"o_orderkey\":' || o_orderkey || ',\"st\":' || case when o_custkey % 2 = 0 then '\"' || o_orderstatus || '\"' else 'null' end || '}' as line from orders",
+    "merge_actions": f"with {_SIDES}, {_LEFT} select 'update' as action, os.id, os.st, od.id as old_id, od.st as old_st from os join od on os.id = od.id union all select 'insert', id, st, null, null from os where id not in (select id from od) union all select 'delete', null, null, id, st from od where id not in (select id from os) union all select 'keep', s.id, s.st, d.id, d.st from s join d on s.id = d.id and s.st = d.st union all select 'delete', null, null, id, st from d, range(2) where id % 13 = 0",
+    "float_extremes": "select l_orderkey, l_linenumber, cast(cast(l_quantity as bigint) as varchar) || '00000000000000000000' as large, rtrim(printf('%.9f', l_quantity / 1e9), '0') as small from lineitem",
+    "in_fractions": "select l_orderkey, l_linenumber, l_discount from lineitem where l_discount in (0.01, 0.05, 1)",
+    "warm_page": "select o_orderpriority, o_orderkey from (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as rn from orders where o_orderpriority in ('1-URGENT', '2-HIGH')) where rn > 1 and rn <= 4",
+    "writer_changes": "select o_orderkey as id, o_custkey as customer, case when o_orderkey % 3 = 0 then 'U' else o_orderstatus end as st from orders where o_orderkey % 5 <> 0",
+    "text_round_trip": "select event_id, event_type || ',\"' || chr(10) || chr(92) || props as said from events",
+    "union_records": "select c_nationkey as nation from customer union select s_nationkey from supplier",
+    "union_all_counts": "select nation, count(*) as n from (select c_nationkey as nation from customer union all select s_nationkey from supplier) group by nation",
+    "validation_unique": "select 'c[' || a.c_custkey || '].c_mktsegment' as location, 'unique' as kind from customer a where a.c_custkey % 2 = 0 and exists (select 1 from customer b where b.c_mktsegment = a.c_mktsegment and b.c_nationkey = a.c_nationkey and b.c_custkey <> a.c_custkey) union all select 'c[' || c_custkey || '].name', 'notnull' from customer where c_custkey % 7 = 0",
     "scan_param": "select o_orderkey, o_totalprice from orders where o_custkey = 7",
     "scan_single": "select o_orderkey, o_custkey from orders order by o_orderkey limit 1",
     "project_renamed": "select l_orderkey as order_id, l_linenumber as line_no, l_quantity as qty from lineitem where l_linenumber = 1",

@@ -169,3 +169,15 @@ def test_stream(spark, folder):
     query.awaitTermination(120)
     assert sum(seen) == 12 and len(seen) == 3
     assert sorted(r.id for r in table.read().collect()) == list(range(1, 13))
+
+
+def test_text_reads_what_it_writes(spark, folder):
+    rows = [(1, "c,d"), (2, 'line\nbreak "quoted" \\ end\\'), (3, None), (4, ""), (5, "null"), (6, ",\n\\,")]
+    df = spark.createDataFrame(rows, "id long, v string")
+    formats.write_text(df, f"{folder}/own")
+    assert sorted(map(tuple, formats.read_text(spark, f"{folder}/own", df.schema, header=False).collect())) == rows
+    fmt = formats.TextFormat()
+    lines = [fmt.header(["v", "id"]), '"a\\,b",7']
+    spark.createDataFrame([("\n".join(lines),)], "v string").coalesce(1).write.text(f"{folder}/named")
+    assert formats.headers(spark, f"{folder}/named") == ["v", "id"]
+    assert [tuple(r) for r in formats.read_text(spark, f"{folder}/named", df.schema).collect()] == [(7, "a,b")]

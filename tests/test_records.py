@@ -145,3 +145,11 @@ def test_json_and_bit(spark):
     assert (a.o.Id, a.b, b.o, b.b) == (7, True, None, False)
 
 
+
+
+def test_among_compares_values(spark):
+    df = spark.createDataFrame([(1.0, 1), (1.5, 2), (2.0, 3)], "d double, i long")
+    assert [r.d for r in among(df, ["d"], [1]).collect()] == [1.0]
+    assert [r.d for r in among(df, ["d"], [1.5, 2]).collect()] == [1.5, 2.0]
+    assert [r.i for r in among(df, ["i"], [1.5, 2.0]).collect()] == [2]
+    assert among(df, ["i"], [1.5]).count() == 0

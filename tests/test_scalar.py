@@ -45,3 +45,11 @@ def test_json(spark):
 
 def test_message(spark):
     assert one(spark, scalar.message("bad '$value'$coma again", F.col("a")), a="v") == "bad 'v', again"
+
+
+def test_float_text_without_exponent(spark):
+    from sluicebox.functions import scalar
+
+    cases = {1e-20: "0." + "0" * 19 + "1", 1.5e-11: "0.000000000015", 1e300: "1" + "0" * 300, -2.5e10: "-25000000000", 1.2345678e7: "12345678", 1.23456789e7: "12345678.9", 0.0: "0", 100.0: "100", -0.25: "-0.25", 123.456: "123.456"}
+    df = spark.createDataFrame([(k,) for k in cases], "x double")
+    assert {r.x: r.t for r in df.select("x", scalar.float_text(F.col("x")).alias("t")).collect()} == cases
