@@ -277,3 +277,38 @@ def test_line_keys_of_one_changed_word():
             pairs.append(" ".join(w).encode())
         own = line_pairs_met(pairs)
         assert sum(bool(own[i] & own[i + 1]) for i in range(0, 400, 2)) >= 196
+
+
+def test_line_recall_of_edited_characters():
+    """Lines of which one character in twenty is edited meet, at every length."""
+    draw = random.Random(15)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 8))) for _ in range(3000)]
+    for n in (5, 12, 30, 60, 120):
+        pairs = []
+        for _ in range(300):
+            a = " ".join(draw.choice(vocabulary) for _ in range(n))
+            c = list(a)
+            for _ in range(max(1, len(c) // 20)):
+                c[draw.randrange(len(c))] = draw.choice("abcdefghijklmnop")
+            pairs += [a.encode(), "".join(c).encode()]
+        own = line_pairs_met(pairs)
+        assert sum(bool(own[i] & own[i + 1]) for i in range(0, 600, 2)) >= 270, n
+
+
+def test_alike_many_pairs():
+    """Distances of many pairs at once are those of single pairs."""
+    draw = random.Random(16)
+    a, b = [], []
+    for _ in range(400):
+        x = [draw.choice("abcd 漢ñ") for _ in range(draw.choice((3, 30, 63, 64, 65, 129, 200)))]
+        y = list(x)
+        for _ in range(draw.randrange(1 + len(x) // 3)):
+            k = draw.randrange(len(y) or 1)
+            y[k : k + draw.randrange(2)] = [draw.choice("abcd ") for _ in range(draw.randrange(3))]
+        a.append("".join(x).encode())
+        b.append("".join(y).encode())
+    points = [[np.frombuffer(t.decode().encode("utf-32-le"), np.uint32) for t in s] for s in (a, b)]
+    some = [i for i in range(400) if len(points[0][i]) <= 192 and len(points[1][i])]
+    found = lines._distances([points[0][i] for i in some], [points[1][i] for i in some], 3)
+    assert found.tolist() == [lines.edit_distance(a[i].decode(), b[i].decode(), 10**9) for i in some]
+    assert lines.alike(a, a).all()
