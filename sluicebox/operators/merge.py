@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateKey
 from ..functions.scalar import is_zero
+from ..shared import settled
 from .sequences import assign_ids, max_id
 from .tables import Table
 
@@ -103,17 +104,18 @@ def classify(source: DataFrame, target: DataFrame, config: MergeConfig) -> DataF
         return found
     id_type = source.schema[ident].dataType
     paired = F.when(F.col("action") == "insert", ~is_zero(F.col(f"src.{ident}"), id_type)).otherwise(F.col("action") == "delete")
-    left = found.where(paired).select(F.coalesce(F.col(f"src.{ident}"), F.col(f"dst.{ident}")).alias("id"), "src", "dst")
+    # leftovers are written once: three steps read them
+    left = settled(found.where(paired).select(F.coalesce(F.col(f"src.{ident}"), F.col(f"dst.{ident}")).alias("id"), "src", "dst"))
     place = F.struct(F.col(f"src.{config.position}") if config.position else F.xxhash64("src"), F.xxhash64("src"))
     by_id = left.groupBy("id").agg(
         F.max_by("src", F.when(F.col("src").isNotNull(), place)).alias("src"), F.min_by("dst", F.when(F.col("dst").isNotNull(), F.xxhash64("dst"))).alias("dst"), F.count("src").alias("n_src"), F.count("dst").alias("n_dst")
     )
-    settled = F.when(F.col("src").isNull(), "delete").when(F.col("dst").isNull(), "insert").otherwise("update")
+    outcome = F.when(F.col("src").isNull(), "delete").when(F.col("dst").isNull(), "insert").otherwise("update")
     more_src = _others(left.where("src is not null").select("id", "src"), by_id.where("n_src > 1").select("id", F.col("src").alias("first")), "id", "src")
     more_dst = _others(left.where("dst is not null").select("id", "dst"), by_id.where("n_dst > 1").select("id", F.col("dst").alias("first")), "id", "dst")
     return (
         found.where(~paired)
-        .unionByName(by_id.select(settled.alias("action"), "src", "dst"))
+        .unionByName(by_id.select(outcome.alias("action"), "src", "dst"))
         .unionByName(more_src.select(F.lit("insert").alias("action"), "src", F.lit(None).cast(kind_dst).alias("dst")))
         .unionByName(more_dst.select(F.lit("delete").alias("action"), F.lit(None).cast(kind_src).alias("src"), "dst"))
     )
