@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .pairs import filter_of, maybe_in, split
 from .scratch import Scratch
 from .words import fingerprints, mix, powers, prefix_sums
@@ -36,25 +37,50 @@ _REACH = WIDTH - LEAD
 #: Strings are told apart by how far before the anchor they start: four ranges of starts.
 _RANGES = [(0, 14), (15, 29), (30, 44), (45, 60)]
 _PLACE = 20
+#: Texts are put one after another up to so many bytes.
+_PIECE = 1 << 17
 #: Two filters of 2**_FILTER_BITS bits (8 MB) are broadcast.
 _FILTER_BITS = 26
 _FIRST = -(1 << 63)
 
 
-class _Text:
-    """A text's bytes with its anchors."""
-
-    def __init__(self, doc: int | None, text: str | None):
-        self.bytes = (text or "").encode("utf-8", "surrogatepass")
-        self.doc = _FIRST if doc is None else doc
-        data = np.frombuffer(self.bytes, np.uint8)
-        self.sums = prefix_sums(data)
-        self.mark = int(fingerprints(self.sums, np.array([0]), np.array([len(data)])).view(np.int64)[0])
-        self.at = self._anchors(len(data))
-
-    def _anchors(self, n: int) -> np.ndarray:
+def _least(key: np.ndarray, span: int) -> np.ndarray:
+    """The least of every ``span`` keys in a row, from those of ever twice as many."""
+    width = 1
+    while 2 * width <= span:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+
+
+class _Texts:
+    """Documents' bytes one after another. Fingerprints do not depend on where bytes stand."""
+
+    def __init__(self, docs: list[int | None], texts: list[bytes]):
+        self.bytes = b"".join(texts)
+        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.docs = np.array([_FIRST if d is None else d for d in docs], np.int64)
+        self.sums = prefix_sums(np.frombuffer(self.bytes, np.uint8))
+        self.marks = fingerprints(self.sums, self.starts, self.ends).view(np.int64)
+
+    def anchored(self) -> _Texts:
+        """Finds the anchors ``at`` and their leads, documents, marks and documents' bounds."""
+        self.at = self._anchors()
+        own = np.searchsorted(self.ends, self.at, side="right")
+        self.doc, self.mark, self.low, self.high = self.docs[own], self.marks[own], self.starts[own], self.ends[own]
+        self.lead = fingerprints(self.sums, self.at, self.at + LEAD)
+        return self
+
+    def _anchors(self) -> np.ndarray:
+        n = len(self.bytes)
         if n < WIDTH:
             return np.empty(0, np.int64)
+        # a string starts where its document has WIDTH more bytes
+        inside = np.ones(n, bool)
+        for start, end in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            inside[max(start, end - WIDTH + 1) : end] = False
         count, span = n - LEAD + 1, _REACH + 1
         lead = (self.sums[LEAD:] - self.sums[:-LEAD]) * powers(count, inverse=True)
         lead ^= lead >> np.uint64(29)
@@ -64,48 +90,60 @@ class _Text:
             part = lead[begin : begin + step + span - 1]
             # the least fingerprint wins, then the first place
             key = (part >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(part), dtype=np.uint64)
-            rows = -(-len(key) // span)
-            grid = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
-            grid[: len(key)] = key
-            grid = grid.reshape(rows, span)
-            ahead = np.minimum.accumulate(grid, 1).ravel()
-            back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-            windows = len(part) - span + 1
-            least = np.minimum(back[:windows], ahead[span - 1 : span - 1 + windows])
-            change = np.concatenate([[True], least[1:] != least[:-1]])
-            found.append((least[change] & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + begin)
-        return np.unique(np.concatenate(found))
-
-    def leads(self) -> np.ndarray:
-        return fingerprints(self.sums, self.at, self.at + LEAD)
-
-    def around(self, at: np.ndarray):
-        """Start and end of what surrounds anchors, and its fingerprints (which know the place)."""
-        a = np.maximum(at - _REACH, 0)
-        b = np.minimum(at + LEAD + _REACH, len(self.bytes))
-        whole = mix(fingerprints(self.sums, a, b) + (at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            least = _least(key, span)
+            least = least[inside[begin : begin + len(least)]]
+            if len(least):
+                change = np.concatenate([[True], least[1:] != least[:-1]])
+                found.append((least[change] & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + begin)
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def only(self, ok: np.ndarray) -> _Texts:
+        """Some of the anchors, in place."""
+        for name in ("at", "doc", "mark", "low", "high", "lead"):
+            setattr(self, name, getattr(self, name)[ok])
+        return self
+
+    def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of what surrounds the anchors, and its fingerprints (which know the place)."""
+        a = np.maximum(self.at - _REACH, self.low)
+        b = np.minimum(self.at + LEAD + _REACH, self.high)
+        whole = mix(fingerprints(self.sums, a, b) + (self.at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return a, b, whole
 
-    def parts(self, at: np.ndarray) -> np.ndarray:
+    def parts(self) -> np.ndarray:
         """(4, anchors): fingerprints of what all strings of a range of starts share; 0: beyond the text."""
-        out = np.zeros((len(_RANGES), len(at)), np.uint64)
+        out = np.zeros((len(_RANGES), len(self.at)), np.uint64)
         for k, (low, high) in enumerate(_RANGES):
-            ok = (at - low >= 0) & (at + WIDTH - high <= len(self.bytes))
-            out[k, ok] = fingerprints(self.sums, at[ok] - low, at[ok] + WIDTH - high)
+            ok = (self.at - low >= self.low) & (self.at + WIDTH - high <= self.high)
+            out[k, ok] = fingerprints(self.sums, self.at[ok] - low, self.at[ok] + WIDTH - high)
         return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int = 1000, size: int = 1 << 23) -> Iterator[list[_Text]]:
-    """Chunks of at most n documents, and of bounded size unless one document is larger."""
-    chunk: list[_Text] = []
-    held = 0
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _texts(batches: Iterator[pa.RecordBatch], n: int = 1000, size: int = 1 << 23) -> Iterator[list[_Texts]]:
+    """Chunks of at most n documents, and of bounded size unless one document is larger, in pieces
+    that the processor's cache holds."""
+    chunk: list[_Texts] = []
+    docs: list[int | None] = []
+    texts: list[bytes] = []
+    held = rows = inner = 0
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            chunk.append(_Text(doc.as_py(), text.as_py()))
-            held += len(chunk[-1].bytes)
-            if len(chunk) >= n or held > size:
+            docs.append(doc.as_py())
+            texts.append(_encoded(text.as_py()))
+            held, rows, inner = held + len(texts[-1]), rows + 1, inner + len(texts[-1])
+            full = rows >= n or held > size
+            if full or inner > _PIECE:
+                chunk.append(_Texts(docs, texts).anchored())
+                docs, texts, inner = [], [], 0
+            if full:
                 yield chunk
-                chunk, held = [], 0
+                chunk, held, rows = [], 0, 0
+    if docs:
+        chunk.append(_Texts(docs, texts).anchored())
     if chunk:
         yield chunk
 
@@ -161,9 +199,8 @@ def _rows(blocks: list[tuple[int, bytes]], spans: list[tuple]) -> Iterator[pa.Re
 def _count_leads(blocks: int):
     def run(batches):
         for chunk in _texts(batches):
-            keys = [t.leads() for t in chunk if len(t.at)]
-            if keys:
-                keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+            keys, counts = np.unique(np.concatenate([t.lead for t in chunk]), return_counts=True)
+            if len(keys):
                 many = counts > 1
                 out = [(b, keys[s].tobytes(), many[s].tobytes()) for b, s in split(keys, blocks)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "many"])
@@ -191,13 +228,11 @@ def _entries(blocks: int, bits):
         for chunk in _texts(batches):
             made = []
             for t in chunk:
-                lead = t.leads()
-                ok = maybe_in(own, lead)
-                at = t.at[ok]
-                e = np.zeros(len(at), _ENTRY)
-                e["lead"], e["at"], e["doc"], e["mark"] = lead[ok], at, t.doc, t.mark
-                e["a"], e["b"], e["whole"] = t.around(at)
-                e["parts"] = t.parts(at).T
+                t.only(maybe_in(own, t.lead))
+                e = np.zeros(len(t.at), _ENTRY)
+                a, b, e["whole"] = t.around()
+                e["lead"], e["at"], e["doc"], e["mark"], e["a"], e["b"] = t.lead, t.at - t.low, t.doc, t.mark, a - t.low, b - t.low
+                e["parts"] = t.parts().T
                 made.append(e)
             e = np.concatenate(made)
             order, first = _first_of([e["lead"], e["whole"], e["doc"], e["mark"], e["at"]])
@@ -233,25 +268,17 @@ def _strings(blocks: int, lead_bits, bits):
         for chunk in _texts(batches):
             made = []
             for t in chunk:
-                if not len(t.at):
-                    continue
-                lead = t.leads()
-                ok = maybe_in(leads, lead)
-                places, lead, n = t.at[ok], lead[ok], len(t.bytes)
-                doc, mark = np.full(len(places), t.doc), np.full(len(places), t.mark)
+                t.only(maybe_in(leads, t.lead))
                 for k, (low, high) in enumerate(_RANGES):
-                    edge = maybe_in(own, _edge_spot(doc, mark, places, k))
-                    start = (places[edge][:, None] - np.arange(low, high + 1)[None, :]).ravel()
-                    ok = (start >= 0) & (start + WIDTH <= n)
-                    if not ok.any():
-                        continue
-                    start = start[ok]
+                    edge = np.flatnonzero(maybe_in(own, _edge_spot(t.doc, t.mark, t.at - t.low, k)))
+                    edge = np.repeat(edge, high - low + 1)
+                    start = t.at[edge] - np.tile(np.arange(low, high + 1), len(edge) // (high - low + 1))
+                    ok = (start >= t.low[edge]) & (start + WIDTH <= t.high[edge])
+                    edge, start = edge[ok], start[ok]
                     s = np.zeros(len(start), _STRING)
-                    s["lead"] = np.repeat(lead[edge], high - low + 1)[ok]
-                    s["print"], s["doc"], s["mark"], s["at"] = fingerprints(t.sums, start, start + WIDTH), t.doc, t.mark, start
+                    s["lead"], s["doc"], s["mark"], s["at"] = t.lead[edge], t.doc[edge], t.mark[edge], start - t.low[edge]
+                    s["print"] = fingerprints(t.sums, start, start + WIDTH)
                     made.append(s)
-            if not made:
-                continue
             s = np.concatenate(made)
             order, first = _first_of([s["lead"], s["print"], s["doc"], s["mark"], s["at"]])
             again, s = s[order[~first]], s[order[first]]
@@ -292,10 +319,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = []
-        for t in batch.column("text"):
-            data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-            marks.append(int(fingerprints(prefix_sums(data), np.array([0]), np.array([len(data)])).view(np.int64)[0]))
+        marks = [_Texts(part.column("doc_id").to_pylist(), [_encoded(t) for t in part.column("text").to_pylist()]).marks for part in slices(iter([batch]), size=_PIECE)]
+        marks = np.concatenate(marks) if marks else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(marks, pa.int64())], names=["doc_id", "text", "mark"])
 
 
@@ -320,7 +345,7 @@ def _cut(with_text: bool):
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 rows = []
                 for doc, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spans"), strict=True):
-                    data = (text or "").encode("utf-8", "surrogatepass")
+                    data = _encoded(text)
                     v = np.array(spans.values.to_numpy(zero_copy_only=False), np.int64) if spans.is_valid else np.empty(0, np.int64)
                     runs = merged(np.stack([v >> 32, v & 0xFFFFFFFF], 1))
                     edges = [0, *runs.ravel().tolist(), len(data)]
