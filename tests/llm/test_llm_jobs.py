@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,17 @@ def test_pipeline(spark, folder, docs):
         out.write.parquet(f"{folder}/{name}")
         current = spark.read.parquet(f"{folder}/{name}")
     assert current.count() > 0
+
+def test_crowded_keys_of_lines(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    rows = []
+    for k in range(6):
+        base = list(rng.choice(words, 30))
+        for copy in range(12):
+            own = list(base)
+            own[int(rng.integers(30))] = words[int(rng.integers(400))]
+            rows.append((k * 100 + copy, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = lines.repeated_lines(docs, longest=2, dense=0).collect()
+    assert sorted(r.doc for r in gone) == sorted(i for i, _ in rows if i % 100)

@@ -312,3 +312,44 @@ def test_alike_many_pairs():
     found = lines._distances([points[0][i] for i in some], [points[1][i] for i in some], 3)
     assert found.tolist() == [lines.edit_distance(a[i].decode(), b[i].decode(), 10**9) for i in some]
     assert lines.alike(a, a).all()
+
+
+def test_lines_normalised_together():
+    text = " A  B\tc \nplain Line\n\r\n\nÄ x "
+    assert lines.normalise(text) == [b" ".join(x.encode().lower().split()) for x in text.split("\n")]
+    assert lines.normalise("One two\n three ") == [b"one two", b"three"]
+    assert lines.normalise("") == [b""]
+
+
+def test_tile_links_what_its_candidates_link():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    seeds, made = [list(rng.choice(words, 14)) for _ in range(8)], set()
+    for k in range(120):
+        own = list(seeds[k % 8])
+        for _ in range(k % 3):
+            own[rng.integers(14)] = words[rng.integers(300)]
+        made.add(" ".join(own).encode())
+    texts = sorted(made)
+    plan = lines.Plan(np.zeros((lines.FEATURES, 1 + lines.PROBES)), 10)
+    counts, points = lines.gram_counts(texts)
+    sketch, length = plan.sketches(counts, np.maximum(points - 2, 0).astype(np.float32), 1), lines.length_code(points)
+    n = len(texts)
+    node = np.arange(n) + 5
+    root = np.where(np.arange(n) < 10, 5, node)
+    tile = pd.DataFrame({"left": False, "node": node, "root": root, "sketch": sketch.view(np.int64), "length": length, "line": texts})
+    tile = pd.concat([tile[10:].assign(left=True), tile])
+
+    def components(links):
+        top = root.copy()
+        for a, b in links:
+            one, two = sorted((top[a - 5], top[b - 5]))
+            top[top == two] = one
+        return top.tolist()
+
+    want = [(i + 5, j + 5) for i in range(n) for j in range(max(i + 1, 10), n) if root[i] != root[j] and lines.near(sketch[[i]], length[[i]], sketch[[j]], length[[j]], 2)[0] and lines.similar(texts[i], texts[j])]
+    for size in (100, 1 << 22):
+        got = lines._across(tile, size=size).values.tolist()
+        assert 0 < len(got) < n and len(got) < len(want)
+        assert components(got) == components(want)
+    assert not len(lines._across(tile[tile["left"]])) and not len(lines._across(tile[:0]))
