@@ -302,3 +302,18 @@ def test_crowded_keys_of_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     gone = lines.repeated_lines(docs, longest=2, dense=0).collect()
     assert sorted(r.doc for r in gone) == sorted(i for i, _ in rows if i % 100)
+
+
+def test_size_of_keys_changes_no_line(spark):
+    """Whether pairs of a key are listed or settled in tiles, the same lines go."""
+    draw = random.Random(21)
+    rows = []
+    for k in range(300):
+        a = "".join(draw.choice("abcdefghijklmnop   ") for _ in range(240))
+        c = list(a)
+        for _ in range(22 + k % 8):
+            c[draw.randrange(240)] = draw.choice("abcdefghijklmnop")
+        rows += [(k, a), (1000 + k, "".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed, settled = ({r.doc for r in lines.repeated_lines(docs, longest=n, dense=m).collect()} for n, m in ((1 << 30, 1 << 30), (2, 0)))
+    assert listed == settled and len(listed) > 100

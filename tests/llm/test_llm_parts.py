@@ -353,3 +353,21 @@ def test_tile_links_what_its_candidates_link():
         assert 0 < len(got) < n and len(got) < len(want)
         assert components(got) == components(want)
     assert not len(lines._across(tile[tile["left"]])) and not len(lines._across(tile[:0]))
+
+
+def test_alignment_at_a_glance():
+    """What it allows is similar; pairs of few edits it allows."""
+    draw, said = random.Random(22), 0
+    for k in range(600):
+        x = [draw.choice("abcdefgh 漢ñ") for _ in range(draw.choice((12, 60, 300)))]
+        y = list(x)
+        for _ in range(draw.randrange(1 + len(x) // 4)):
+            i = draw.randrange(len(y) or 1)
+            y[i : i + draw.randrange(3)] = [draw.choice("abcdefgh ") for _ in range(draw.randrange(3))]
+        one, two = ("".join(t) for t in (x, y))
+        points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (one, two)]
+        most = lines._most(max(len(one), len(two)))
+        quick = lines._at_most(*points, most)
+        said += quick
+        assert not quick or lines.edit_distance(one, two, most) <= most
+    assert said > 150
