@@ -371,3 +371,23 @@ def test_alignment_at_a_glance():
         said += quick
         assert not quick or lines.edit_distance(one, two, most) <= most
     assert said > 150
+
+
+def test_whole_candidates_are_read():
+    """What stands behind the first characters of a candidate counts, and reading it in blocks changes nothing."""
+    text = "some words " + "a1" * 30 + "Z9" * 20000 + "a1" * 400 + " and more"
+    x = secrets.window(text, 11, len(text) - 9)
+    assert len(x) == secrets.BEFORE + len(text) - 20 + secrets.AFTER
+    own = secrets.parts(x)
+    assert [len(p) for p in own] == [secrets.BEFORE + secrets.PART + secrets.AFTER] * 40
+    assert (own[-1] == np.concatenate([x[: secrets.BEFORE], x[-secrets.PART - secrets.AFTER :]])).all()
+    draw = np.random.Generator(np.random.PCG64(1))
+    m = secrets.SecretModel(draw.normal(0, 0.5, (secrets._N_CODES, 8)), draw.normal(0, 0.2, (40, 24)), np.zeros(24), draw.normal(0, 0.1, 73))
+    both = [x, secrets.window("an id 1234567890abcdefXY end", 6, 24), secrets.window("k " + "ab1" * 30, 2, 92)]
+    for w, got in zip(both, m._pooled(both), strict=True):
+        z = m._places(w)[1]
+        inside, outside = z[secrets.BEFORE : -secrets.AFTER], np.concatenate([z[: secrets.BEFORE - 4], z[4 - secrets.AFTER :]])
+        inside = z[secrets.BEFORE : len(w) - secrets.AFTER - 4]
+        assert np.allclose(got, np.concatenate([inside.max(0), inside.mean(0), outside.max(0), [1]]))
+    first = secrets.window(text[:11] + text[11:51], 11, 51)
+    assert not np.allclose(m.logits([x]), m.logits([first]))
