@@ -355,6 +355,36 @@ def test_tile_links_what_its_candidates_link():
     assert not len(lines._across(tile[tile["left"]])) and not len(lines._across(tile[:0]))
 
 
+def test_crowded_keys_compare_a_pair_once(monkeypatch):
+    """Keys that are put together compare what meets in one of them, each pair once, with what the
+    pair's sketches are in that key."""
+    draw = random.Random(4)
+    n, asked = 40, []
+    sketch = [[draw.getrandbits(20), draw.getrandbits(20)] for _ in range(n)]
+    root = [k % 5 for k in range(n)]
+    keys = [sorted(draw.sample(range(8), 5)) for _ in range(n)]
+    sketches = [np.array([sketch[k][x % 2] for x in keys[k]], np.int64) for k in range(n)]
+    tile = pd.DataFrame({"node": range(n), "root": root, "length": 100, "keys": [np.array(x) for x in keys], "sketches": sketches, "line": [str(k).encode() for k in range(n)]})
+    monkeypatch.setattr(lines, "alike", lambda x, y: asked.extend(zip(map(int, x), map(int, y), strict=True)) or np.zeros(len(x), bool))
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and any((sketch[a][x % 2] ^ sketch[b][x % 2]).bit_count() <= lines.NEAR[1] - 4 for x in set(keys[a]) & set(keys[b]))}
+    lines._across(tile.assign(i=0, j=0, left=True), more=-4)
+    assert len(asked) == len(set(asked)) and {tuple(sorted(x)) for x in asked} == want and len(want) > 100
+    asked.clear()
+    lines._across(tile.assign(i=0, j=1, left=[k < 15 for k in range(n)]), more=-4)
+    assert len(asked) == len(set(asked)) and set(asked) == {(a, b) for a, b in want if a < 15 <= b}
+    assert not len(lines._across(tile.assign(i=0, j=1, left=True)))
+
+
+def test_crowded_key_lists_its_first_line():
+    """The links that connect a crowded key come from its block: pairs with the key's first line."""
+    entry = np.zeros(6, lines._ENTRY)
+    entry["node"], entry["key"], entry["flips"], entry["length"] = range(6), 7, 0 | 1 << 4, 100
+    entry["sketch"][5] = (1 << 40) - 1
+    out = lines.meet(2, 0)(pd.DataFrame({"block": [3], "packed": [entry.tobytes()]}))
+    assert out.loc[out["kind"] == 2, ["a", "b"]].values.tolist() == [[0, k] for k in range(1, 5)]
+    assert (out["kind"] == 1).sum() == 4 * 6
+
+
 def test_alignment_at_a_glance():
     """What it allows is similar; pairs of few edits it allows."""
     draw, said = random.Random(22), 0
