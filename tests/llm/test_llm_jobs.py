@@ -317,3 +317,15 @@ def test_size_of_keys_changes_no_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     listed, settled = ({r.doc for r in lines.repeated_lines(docs, longest=n, dense=m).collect()} for n, m in ((1 << 30, 1 << 30), (2, 0)))
     assert listed == settled and len(listed) > 100
+
+
+def test_lines_without_partner_are_only_counted(spark, monkeypatch):
+    """First occurrences are sought among lines that occur again or resemble another one."""
+    kept, keep = {}, lines.Scratch.keep
+    monkeypatch.setattr(lines.Scratch, "keep", lambda self, df, name: kept.setdefault(name, keep(self, df, name)))
+    a = "this is a rather long line that several documents have in common"
+    rows = [(1, f"own first words of one here\n{a}"), (2, "something quite different is said in this place"), (None, f"{a} x"), (3, a)]
+    gone = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc, r.gone) for r in gone) == [(1, [1]), (3, [0])]
+    assert kept["per_line"].columns == ["node", "n"]
+    assert sorted((r.doc or 0, r.at) for r in kept["repeats"].collect()) == [(0, 0), (1, 1), (3, 0)]
