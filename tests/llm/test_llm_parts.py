@@ -421,3 +421,29 @@ def test_whole_candidates_are_read():
         assert np.allclose(got, np.concatenate([inside.max(0), inside.mean(0), outside.max(0), [1]]))
     first = secrets.window(text[:11] + text[11:51], 11, 51)
     assert not np.allclose(m.logits([x]), m.logits([first]))
+
+
+def test_edits_spread_evenly():
+    """Lines whose edits share no trigram are verified, alone and among many."""
+    draw, a, b = random.Random(31), [], []
+    for k in range(120):
+        x = [draw.choice("abcdefgh ñ") for _ in range(draw.choice((50, 300, 900)))]
+        a.append("".join(x).encode())
+        step = 6 if k % 2 else 4
+        x[step - 1 :: step] = "Q" * len(x[step - 1 :: step])
+        b.append("".join(x).encode())
+    expected = [lines.similar(x, y) for x, y in zip(a, b, strict=True)]
+    assert expected == [k % 2 == 1 for k in range(120)]
+    assert lines.alike(a, b).tolist() == expected
+    assert [bool(lines.alike([x], [y])[0]) for x, y in zip(a, b, strict=True)] == expected
+
+
+def test_beginnings_bound_the_distance():
+    """What beginnings take is never more than whole lines do."""
+    draw = random.Random(32)
+    xs, ys = ([np.array([draw.randrange(3) for _ in range(draw.randrange(100, 200))], np.uint32) for _ in range(200)] for _ in range(2))
+    ys[::2] = [np.concatenate([x[:20], x[30:90], y[:9], x[90:]]) for x, y in zip(xs[::2], ys[::2], strict=True)]
+    whole = lines._distances(xs, ys, 4)
+    after = np.array([len(x) - 64 - len(y) for x, y in zip(xs, ys, strict=True)])
+    least = lines._distances([x[:64] for x in xs], ys, 1, after)
+    assert (least <= whole).all() and (least[::2] >= 10).all()
