@@ -329,3 +329,22 @@ def test_lines_without_partner_are_only_counted(spark, monkeypatch):
     assert sorted((r.doc, r.gone) for r in gone) == [(1, [1]), (3, [0])]
     assert kept["per_line"].columns == ["node", "n"]
     assert sorted((r.doc or 0, r.at) for r in kept["repeats"].collect()) == [(0, 0), (1, 1), (3, 0)]
+
+
+def test_pipeline_verifies_spread_edits(spark):
+    """Lines that meet are deduplicated where their edits stand far apart, in the pipeline's stage too."""
+    import random
+
+    from corpus_pipeline import STAGES
+
+    draw, rows = random.Random(41), []
+    for k in range(60):
+        x = [draw.choice("abcdefgh ijkl") for _ in range(90)]
+        rows.append((k, "".join(x)))
+        x[4::9] = "Q" * len(x[4::9])
+        rows.append((1000 + k, "".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'web' source", "90L n_chars")
+    stage = dict(STAGES)["line_dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, docs, "/root/testdata/sf0.001").collect()}
+    assert all(got[k] == t for k, t in rows[::2])
+    assert sum(got[1000 + k] == "" for k in range(60)) >= 30
