@@ -13,6 +13,11 @@ repeats. Where only part of the surroundings repeats (the edges of a repeat),
 the strings themselves are compared, partitioned by range and sorted likewise.
 All copies within a chunk of a task are settled there, so a passage that very
 many documents hold sends one row per chunk.
+
+Which anchors have a lead that occurs again, and which need their strings
+compared, is sent back to the documents that hold them: both are dealt to
+buckets, and a bucket of documents is read with its own anchors only. Nothing
+is broadcast, and what is sent grows with the input.
 """
 
 from __future__ import annotations
@@ -23,11 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
-from .pairs import filter_of, maybe_in, split
+from .pairs import split
 from .scratch import Scratch
 from .words import fingerprints, mix, powers, prefix_sums
 
@@ -39,8 +43,6 @@ _RANGES = [(0, 14), (15, 29), (30, 44), (45, 60)]
 _PLACE = 20
 #: Texts are put one after another up to so many bytes.
 _PIECE = 1 << 17
-#: Two filters of 2**_FILTER_BITS bits (8 MB) are broadcast.
-_FILTER_BITS = 26
 _FIRST = -(1 << 63)
 
 
@@ -54,16 +56,22 @@ def _least(key: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
 
 
+def _spots(mark: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for anchors (and a range of starts), the document's part on top. They only choose what
+    is compared, so it does no harm if two agree."""
+    return (mark.view(np.uint64) >> np.uint64(32) << np.uint64(32)) | (at.astype(np.uint64) << np.uint64(2) | np.uint64(k)) & np.uint64(0xFFFFFFFF)
+
+
 class _Texts:
     """Documents' bytes one after another. Fingerprints do not depend on where bytes stand."""
 
-    def __init__(self, docs: list[int | None], texts: list[bytes]):
+    def __init__(self, docs: list[int | None], marks: list[int], texts: list[bytes]):
         self.bytes = b"".join(texts)
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.docs = np.array([_FIRST if d is None else d for d in docs], np.int64)
+        self.marks = np.array(marks, np.int64)
         self.sums = prefix_sums(np.frombuffer(self.bytes, np.uint8))
-        self.marks = fingerprints(self.sums, self.starts, self.ends).view(np.int64)
 
     def anchored(self) -> _Texts:
         """Finds the anchors ``at`` and their leads, documents, marks and documents' bounds."""
@@ -103,6 +111,9 @@ class _Texts:
             setattr(self, name, getattr(self, name)[ok])
         return self
 
+    def spots(self, k: int = 0) -> np.ndarray:
+        return _spots(self.mark, self.at - self.low, k)
+
     def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of what surrounds the anchors, and its fingerprints (which know the place)."""
         a = np.maximum(self.at - _REACH, self.low)
@@ -128,22 +139,24 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int = 1000, size: int = 1 << 23
     that the processor's cache holds."""
     chunk: list[_Texts] = []
     docs: list[int | None] = []
+    marks: list[int] = []
     texts: list[bytes] = []
     held = rows = inner = 0
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        for doc, mark, text in zip(*(batch.column(x) for x in ("doc_id", "mark", "text")), strict=True):
             docs.append(doc.as_py())
+            marks.append(mark.as_py())
             texts.append(_encoded(text.as_py()))
             held, rows, inner = held + len(texts[-1]), rows + 1, inner + len(texts[-1])
             full = rows >= n or held > size
             if full or inner > _PIECE:
-                chunk.append(_Texts(docs, texts).anchored())
-                docs, texts, inner = [], [], 0
+                chunk.append(_Texts(docs, marks, texts).anchored())
+                docs, marks, texts, inner = [], [], [], 0
             if full:
                 yield chunk
                 chunk, held, rows = [], 0, 0
     if docs:
-        chunk.append(_Texts(docs, texts).anchored())
+        chunk.append(_Texts(docs, marks, texts).anchored())
     if chunk:
         yield chunk
 
@@ -166,9 +179,10 @@ def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ENTRY = np.dtype([("lead", "<u8"), ("whole", "<u8"), ("parts", "<u8", (4,)), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8"), ("a", "<i4"), ("b", "<i4")])
+_LEAD = np.dtype([("lead", "<u4"), ("spot", "<u8")])
 _STRING = np.dtype([("lead", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8")])
 _OUT = "block int, packed binary, doc long, mark long, a int, b int"
-_FOUND = "part int, spot long, doc long, mark long, a int, b int"
+_SPOTS = "block int, spots binary"
 
 
 def _runs(doc: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
@@ -185,9 +199,11 @@ def _runs(doc: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tu
     return doc[new], mark[new], a[new], reach[last] - shift[last]
 
 
-def _rows(blocks: list[tuple[int, bytes]], spans: list[tuple]) -> Iterator[pa.RecordBatch]:
+_ROWS = pa.schema([("block", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+
+
+def _rows(blocks: list[tuple[int, bytes]], spans: list[tuple], schema: pa.Schema = _ROWS) -> Iterator[pa.RecordBatch]:
     """Packed entries by block, and spans that are settled already (block null)."""
-    schema = pa.schema([("block", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     if blocks:
         none = pa.nulls(len(blocks))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary()), *(none.cast(f.type) for f in list(schema)[2:])], schema=schema)
@@ -196,39 +212,70 @@ def _rows(blocks: list[tuple[int, bytes]], spans: list[tuple]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc), pa.array(mark), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], schema=schema)
 
 
-def _count_leads(blocks: int):
+def _leads(blocks: int):
+    """Anchors by their leads' blocks: of each lead and chunk two at most. Those it has more, which are
+    known to occur again, are by their spots' buckets already."""
+
     def run(batches):
+        schema = pa.schema([("block", pa.int32()), ("leads", pa.binary()), ("spots", pa.binary())])
         for chunk in _texts(batches):
-            keys, counts = np.unique(np.concatenate([t.lead for t in chunk]), return_counts=True)
-            if len(keys):
-                many = counts > 1
-                out = [(b, keys[s].tobytes(), many[s].tobytes()) for b, s in split(keys, blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "many"])
+            lead, spot = (np.concatenate(x) for x in zip(*((t.lead, t.spots()) for t in chunk), strict=True))
+            if not len(lead):
+                continue
+            order = np.argsort(lead, kind="stable")
+            lead, spot = lead[order], spot[order]
+            start = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+            two = np.arange(len(lead)) - np.repeat(start, np.diff(np.append(start, len(lead)))) < 2
+            e = np.zeros(int(two.sum()), _LEAD)
+            e["lead"], e["spot"] = lead[two] & np.uint64(0xFFFFFFFF), spot[two]
+            out = [(b, e[x].tobytes(), None) for b, x in split(lead[two], blocks)]
+            out += [(b, None, x) for b, x in _dealt(spot[~two], blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _repeated(block: pd.DataFrame) -> pd.DataFrame:
-    keys = np.frombuffer(b"".join(block["keys"]), np.uint64)
-    many = np.frombuffer(b"".join(block["many"]), bool)
-    found, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    often = counts > 1
-    often[inverse[many]] = True
-    return pd.DataFrame({"spot": found[often].view(np.int64)})
+def _dealt(spots: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
+    spots = np.unique(spots)
+    return [(b, spots[x].tobytes()) for b, x in split(spots, blocks)]
 
 
-def _edge_spot(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """A number for an anchor and a range of starts."""
-    return mix(mix(doc.astype(np.int64).view(np.uint64) + mark.view(np.uint64)) + at.astype(np.uint64) * np.uint64(4) + np.uint64(k))
+def _repeated(blocks: int):
+    """Spots of anchors whose lead occurs again, by bucket."""
 
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        known = block[["block", "spots"]].dropna()
+        e = np.frombuffer(b"".join(block["leads"].dropna()), _LEAD)
+        _, inverse, counts = np.unique(e["lead"], return_inverse=True, return_counts=True)
+        out = _dealt(e["spot"][counts[inverse] > 1], blocks)
+        return pd.concat([known, pd.DataFrame(out, columns=["block", "spots"])])
 
-def _entries(blocks: int, bits):
-    def run(batches):
-        own = bits.value
-        for chunk in _texts(batches):
+    return run
+
+
+def _own(part: pa.Table, spots: pa.Table) -> tuple[np.ndarray, Iterator[list[_Texts]]]:
+    """A bucket's spots, sorted, and those of its documents that have any, in chunks."""
+    own = np.unique(np.frombuffer(b"".join(spots.column("spots").to_pylist()), np.uint64))
+    marks = part.column("mark").to_numpy().view(np.uint64)
+    part = part.filter(pa.array(_among(own >> np.uint64(32), marks >> np.uint64(32)), pa.bool_()))
+    return own, _texts(iter(part.to_batches()))
+
+
+def _among(own: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which numbers stand in a sorted array."""
+    if not len(own):
+        return np.zeros(len(spots), bool)
+    return own[np.minimum(np.searchsorted(own, spots), len(own) - 1)] == spots
+
+
+def _entries(blocks: int):
+    def run(part: pa.Table, spots: pa.Table) -> pa.Table:
+        own, chunks = _own(part, spots)
+        out: list[pa.RecordBatch] = []
+        for chunk in chunks:
             made = []
             for t in chunk:
-                t.only(maybe_in(own, t.lead))
+                t.only(_among(own, t.spots()))
                 e = np.zeros(len(t.at), _ENTRY)
                 a, b, e["whole"] = t.around()
                 e["lead"], e["at"], e["doc"], e["mark"], e["a"], e["b"] = t.lead, t.at - t.low, t.doc, t.mark, a - t.low, b - t.low
@@ -238,39 +285,44 @@ def _entries(blocks: int, bits):
             order, first = _first_of([e["lead"], e["whole"], e["doc"], e["mark"], e["at"]])
             again, e = e[order[~first]], e[order[first]]
             again = again[again["b"] - again["a"] >= WIDTH]
-            yield from _rows([(b, e[s].tobytes()) for b, s in split(np.ascontiguousarray(e["lead"]), blocks)], [(again["doc"], again["mark"], again["a"], again["b"])])
+            out += _rows([(b, e[s].tobytes()) for b, s in split(np.ascontiguousarray(e["lead"]), blocks)], [(again["doc"], again["mark"], again["a"], again["b"])])
+        return pa.Table.from_batches(out, _ROWS)
 
     return run
 
 
-def _sort_anchors(block: pd.DataFrame) -> pd.DataFrame:
-    """part -1: a span that repeats; else an edge: an anchor (as a spot) and a range of starts."""
-    e = np.frombuffer(b"".join(block["packed"]), _ENTRY)
-    order, first = _first_of([e["lead"], e["whole"], e["doc"], e["mark"], e["at"]])
-    e = e[order]
-    again = e[~first]
-    again = again[again["b"] - again["a"] >= WIDTH]
-    doc, mark, a, b = _runs(again["doc"], again["mark"], again["a"], again["b"])
-    out = [pd.DataFrame({"part": -1, "spot": 0, "doc": doc, "mark": mark, "a": a.astype(np.int32), "b": b.astype(np.int32)})]
-    heads = e[first]
-    for k in range(len(_RANGES)):
-        part = heads["parts"][:, k]
-        some = heads[part != 0]
-        _, inverse, counts = np.unique(mix(some["parts"][:, k] ^ mix(some["lead"].copy())), return_inverse=True, return_counts=True)
-        edge = some[counts[inverse] > 1] if len(some) else some
-        out.append(pd.DataFrame({"part": k, "spot": _edge_spot(edge["doc"], edge["mark"], edge["at"], k).view(np.int64), "doc": 0, "mark": 0, "a": 0, "b": 0}))
-    return pd.concat(out)
-
-
-def _strings(blocks: int, lead_bits, bits):
-    def run(batches):
-        leads, own = lead_bits.value, bits.value
-        for chunk in _texts(batches):
+def _sort_anchors(blocks: int):
+    """Spans that repeat (block null); and by bucket the spots of edges, an anchor and a range of starts."""
+
+    def run(block: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(block.column("packed").to_pylist()), _ENTRY)
+        order, first = _first_of([e["lead"], e["whole"], e["doc"], e["mark"], e["at"]])
+        e = e[order]
+        again = e[~first]
+        again = again[again["b"] - again["a"] >= WIDTH]
+        heads, spots = e[first], [np.empty(0, np.uint64)]
+        for k in range(len(_RANGES)):
+            part = heads["parts"][:, k]
+            some = heads[part != 0]
+            _, inverse, counts = np.unique(mix(some["parts"][:, k] ^ mix(some["lead"].copy())), return_inverse=True, return_counts=True)
+            edge = some[counts[inverse] > 1] if len(some) else some
+            spots.append(_spots(edge["mark"], edge["at"], k))
+        found = _rows(_dealt(np.concatenate(spots), blocks), [(again["doc"], again["mark"], again["a"], again["b"])])
+        return pa.Table.from_batches(found, _ROWS)
+
+    return run
+
+
+def _strings(blocks: int):
+    def run(part: pa.Table, spots: pa.Table) -> pa.Table:
+        own, chunks = _own(part, spots)
+        anchors, out = np.unique(own & ~np.uint64(3)), []
+        for chunk in chunks:
             made = []
             for t in chunk:
-                t.only(maybe_in(leads, t.lead))
+                t.only(_among(anchors, t.spots()))
                 for k, (low, high) in enumerate(_RANGES):
-                    edge = np.flatnonzero(maybe_in(own, _edge_spot(t.doc, t.mark, t.at - t.low, k)))
+                    edge = np.flatnonzero(_among(own, t.spots(k)))
                     edge = np.repeat(edge, high - low + 1)
                     start = t.at[edge] - np.tile(np.arange(low, high + 1), len(edge) // (high - low + 1))
                     ok = (start >= t.low[edge]) & (start + WIDTH <= t.high[edge])
@@ -282,7 +334,8 @@ def _strings(blocks: int, lead_bits, bits):
             s = np.concatenate(made)
             order, first = _first_of([s["lead"], s["print"], s["doc"], s["mark"], s["at"]])
             again, s = s[order[~first]], s[order[first]]
-            yield from _rows([(b, s[x].tobytes()) for b, x in split(np.ascontiguousarray(s["lead"]), blocks)], [(again["doc"], again["mark"], again["at"], again["at"] + WIDTH)])
+            out += _rows([(b, s[x].tobytes()) for b, x in split(np.ascontiguousarray(s["lead"]), blocks)], [(again["doc"], again["mark"], again["at"], again["at"] + WIDTH)])
+        return pa.Table.from_batches(out, _ROWS)
 
     return run
 
@@ -295,35 +348,35 @@ def _sort_strings(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc, "mark": mark, "a": a.astype(np.int32), "b": b.astype(np.int32)})
 
 
+def _mark(text: str, id_column: str) -> Column:
+    return F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``doc, mark, a, b``: byte ranges that consist of repeats, for each document (its id and a
-    fingerprint of its text); ranges may overlap."""
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    context = docs.sparkSession.sparkContext
-    source = docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"))
+    fingerprint of id and text); ranges may overlap."""
+    scratch = Scratch(docs.sparkSession, "suffixes", clean=True)
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), _mark(text, id_column).alias("mark"), F.col(text).cast("string").alias("text"))
     blocks = int(max(64, docs.count() // 4000))
-    leads = source.mapInArrow(_count_leads(blocks), "block int, keys binary, many binary").groupBy("block").applyInPandas(_repeated, "spot long")
-    lead_bits = context.broadcast(filter_of(scratch.keep(leads, "leads"), _FILTER_BITS, "spot"))
-    entries = scratch.keep(source.mapInArrow(_entries(blocks, lead_bits), _OUT), "entries")
-    sorted_ = scratch.keep(entries.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_anchors, _FOUND), "sorted")
-    spans = scratch.keep(entries.where("block is null").select("doc", "mark", "a", "b").unionByName(sorted_.where("part < 0").select("doc", "mark", "a", "b")), "spans1")
-    edges = scratch.keep(sorted_.where("part >= 0").select("spot"), "edges")
-    scratch.drop("leads", "entries", "sorted")
-    bits = context.broadcast(filter_of(edges, _FILTER_BITS, "spot"))
-    strings = scratch.keep(source.mapInArrow(_strings(blocks, lead_bits, bits), _OUT), "strings")
+    bucket = F.shiftrightunsigned(F.shiftrightunsigned("mark", 32) * F.lit(blocks).cast("long"), 32).cast("int")
+
+    def with_own(spots: DataFrame, compare) -> DataFrame:
+        return source.groupBy(bucket.alias("block")).cogroup(spots.groupBy("block")).applyInArrow(compare, _OUT)
+
+    leads = source.mapInArrow(_leads(blocks), "block int, leads binary, spots binary")
+    leads = scratch.keep(leads.groupBy("block").applyInPandas(_repeated(blocks), _SPOTS), "leads")
+    entries = scratch.keep(with_own(leads, _entries(blocks)), "entries")
+    sorted_ = scratch.keep(entries.where("block is not null").select("block", "packed").groupBy("block").applyInArrow(_sort_anchors(blocks), _OUT), "sorted")
+    spans = scratch.keep(entries.where("block is null").unionByName(sorted_.where("block is null")).select("doc", "mark", "a", "b"), "spans1")
+    scratch.drop("leads", "entries")
+    strings = scratch.keep(with_own(sorted_.where("block is not null").select("block", F.col("packed").alias("spots")), _strings(blocks)), "strings")
+    scratch.drop("sorted")
     last = strings.where("block is not null").select("block", "packed").groupBy("block").applyInPandas(_sort_strings, "doc long, mark long, a int, b int")
     last = scratch.keep(strings.where("block is null").select("doc", "mark", "a", "b").unionByName(last), "spans2")
-    scratch.drop("strings", "edges")
+    scratch.drop("strings")
     return spans.unionByName(last)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = [_Texts(part.column("doc_id").to_pylist(), [_encoded(t) for t in part.column("text").to_pylist()]).marks for part in slices(iter([batch]), size=_PIECE)]
-        marks = np.concatenate(marks) if marks else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(marks, pa.int64())], names=["doc_id", "text", "mark"])
-
-
 def merged(spans: np.ndarray) -> np.ndarray:
     """(n, 2) ranges as maximal disjoint runs; ranges that touch are one run."""
     if not len(spans):
@@ -362,14 +415,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     A byte goes when a WIDTH-byte string of UTF-8 that covers it also starts earlier: at a
     smaller id, or earlier in its document. Null ids are smallest; different rows of one id are
-    ordered by a fingerprint of their texts; rows that repeat an id and its text count as one
+    ordered by a fingerprint of id and text; rows that repeat an id and its text count as one
     document and get equal results. Null texts are empty; texts under WIDTH bytes lose nothing.
     ``text`` drops a character of which a repeat cut off some bytes.
     """
     spans = repeated_spans(docs, text, id_column)
     packed = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     per_doc = spans.groupBy("doc", "mark").agg(F.collect_list(packed).alias("spans"))
-    marked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_marks, "doc_id long, text string, mark long")
+    marked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _mark(text, id_column).alias("mark"))
     joined = marked.withColumn("doc", F.coalesce("doc_id", F.lit(_FIRST))).join(per_doc, ["doc", "mark"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut(with_text), _CUT)
 

@@ -348,3 +348,14 @@ def test_pipeline_verifies_spread_edits(spark):
     got = {r.doc_id: r.text for r in stage(spark, docs, "/root/testdata/sf0.001").collect()}
     assert all(got[k] == t for k, t in rows[::2])
     assert sum(got[1000 + k] == "" for k in range(60)) >= 30
+
+
+def test_repeats_need_no_filter(spark, docs, monkeypatch):
+    """What is sent follows from the anchors that occur again: nothing of a fixed size is broadcast."""
+
+    def broadcast(self, value):
+        raise AssertionError("broadcast")
+
+    expected = {r.doc_id: tuple(r) for r in suffixes.remove_repeats(docs, with_text=False).collect()}
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert {r.doc_id: tuple(r) for r in suffixes.remove_repeats(docs, with_text=False).collect()} == expected

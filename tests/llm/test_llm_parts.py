@@ -447,3 +447,18 @@ def test_beginnings_bound_the_distance():
     after = np.array([len(x) - 64 - len(y) for x, y in zip(xs, ys, strict=True)])
     least = lines._distances([x[:64] for x in xs], ys, 1, after)
     assert (least <= whole).all() and (least[::2] >= 10).all()
+
+
+def test_only_repeated_leads_are_answered():
+    """However many leads there are, spots of those that occur once do not come back."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    e = np.zeros(50_000, suffixes._LEAD)
+    e["lead"], e["spot"] = np.arange(50_000), draw.integers(0, 1 << 63, 50_000)
+    e["lead"][:100] = e["lead"][100:200]
+    known = np.sort(draw.integers(0, 1 << 32, 5).astype(np.uint64))
+    rows = pd.DataFrame({"block": [7, 7, 7], "leads": [e[:90].tobytes(), e[90:].tobytes(), None], "spots": [None, None, known.tobytes()]})
+    out = suffixes._repeated(16)(rows)
+    spots = np.concatenate([np.frombuffer(x, np.uint64) for x in out["spots"]])
+    assert sorted(spots.tolist()) == sorted(e["spot"][:200].tolist() + known.tolist())
+    buckets = [b for b, x in zip(out["block"][1:], out["spots"][1:], strict=True) for _ in range(len(x) // 8)]
+    assert buckets == [int(s) >> 60 for s in spots[5:]]
