@@ -359,3 +359,15 @@ def test_repeats_need_no_filter(spark, docs, monkeypatch):
     expected = {r.doc_id: tuple(r) for r in suffixes.remove_repeats(docs, with_text=False).collect()}
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
     assert {r.doc_id: tuple(r) for r in suffixes.remove_repeats(docs, with_text=False).collect()} == expected
+
+
+def test_all_findings_train(spark, monkeypatch):
+    """However many findings there are, each is learned from or calibrates."""
+    text = F.concat(F.lit("password: "), F.sha1(F.col("id").cast("string")), F.lit(" see page/of/the/manual"), F.col("id"))
+    docs = spark.range(3500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    learned, calibrated = [], []
+    averaged, calibrate = secrets.averaged, secrets.calibrate
+    monkeypatch.setattr(secrets, "averaged", lambda parts: learned.append(sum(p[0] for p in parts)) or averaged(parts))
+    monkeypatch.setattr(secrets, "calibrate", lambda m, t, y, n, *more: calibrated.append(n.sum()) or calibrate(m, t, y, n, *more))
+    model = secrets.fit(docs, part=1000, epochs=2)
+    assert model and learned[0] == learned[1] and learned[0] + calibrated[0] == 10_500 and 2300 < calibrated[0] < 3000

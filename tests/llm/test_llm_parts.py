@@ -462,3 +462,24 @@ def test_only_repeated_leads_are_answered():
     assert sorted(spots.tolist()) == sorted(e["spot"][:200].tolist() + known.tolist())
     buckets = [b for b, x in zip(out["block"][1:], out["spots"][1:], strict=True) for _ in range(len(x) // 8)]
     assert buckets == [int(s) >> 60 for s in spots[5:]]
+
+
+def test_every_finding_is_learned_from(monkeypatch):
+    x = [secrets.window(f"an id {k:018d}{'abcd'[k % 4]}XY end", 6, 27) for k in range(707)]
+    y, seen, edges = np.array([1] * 7 + [0] * 700), set(), secrets.SecretModel._edges
+    monkeypatch.setattr(secrets.SecretModel, "_edges", staticmethod(lambda own: seen.update(id(w) for w in own) or edges(own)))
+    draw = np.random.Generator(np.random.PCG64(1))
+    own = secrets.Learner.fresh(draw)
+    own.epoch(x, y, draw)
+    assert {id(w) for w in x[7:]} <= seen and own.step == 22
+    again = secrets.Learner.of(own.packed(), own.step)
+    assert all((getattr(again.model, n) == getattr(own.model, n)).all() and (again.second[n] == own.second[n]).all() for n in secrets._WEIGHTS)
+    for one in (0, 1):
+        own.epoch(x[:40], np.full(40, one), draw)
+
+
+def test_threshold_of_counted_outputs():
+    """Counts stand for as many equal outputs."""
+    t, y, n = np.array([-4.0, -1, 1, 2, 3, 5]), np.array([0, 0, 1, 0, 1, 1]), np.array([50, 30, 4, 3, 60, 40])
+    made = [secrets.calibrate(secrets.SecretModel(*[None] * 4), *x) for x in ((t, y, n), (np.repeat(t, n), np.repeat(y, n), np.ones(n.sum())))]
+    assert np.allclose([made[0].slope, made[0].shift, made[0].threshold], [made[1].slope, made[1].shift, made[1].threshold])
